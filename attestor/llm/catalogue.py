@@ -6,11 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import simhash
+from . import bpe, simhash
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_simhash": simhash.op2_simhash}
+    return {
+        "op2_simhash": simhash.op2_simhash,
+        "op9_bpe": bpe.op9_bpe,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
