@@ -33,7 +33,7 @@ CACHE = 400_000
 _CACHE_BYTES, _PAIRS, _TEXT, _BLOCK, _ROWS = 64, 1 << 20, 1 << 20, 1 << 16, 256
 _IDS = np.dtype("<u4")
 #: Unicode's White_Space, which the tokenizer library means by \s.
-_SPACE = "\t-\r \x85\xa0  -     　"
+_SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
 class Vocabulary:

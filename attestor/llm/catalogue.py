@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, simhash
+from . import bpe, embeddings, simhash
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_simhash": simhash.op2_simhash,
+        "op5_embeddings": embeddings.op5_embeddings,
         "op9_bpe": bpe.op9_bpe,
     }
 
