@@ -25,6 +25,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 from .common import read_table, ship_code
 
@@ -213,7 +214,7 @@ def decode(encoded: DataFrame, vocabulary: str, pattern: str) -> DataFrame:
                 out = [None if x is None else e.decode(x) for x in batch.column("ids").to_pylist()]
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], [*batch.schema.names, "decoded"])
 
-    return encoded.mapInArrow(rows, encoded.schema.add("decoded", "binary"))
+    return encoded.mapInArrow(rows, StructType([*encoded.schema.fields, StructField("decoded", BinaryType())]))
 
 
 def digests(docs: DataFrame) -> DataFrame:
