@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, embeddings, simhash
+from . import bpe, embeddings, simhash, unigram
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_simhash": simhash.op2_simhash,
         "op5_embeddings": embeddings.op5_embeddings,
+        "op8_token_counts": unigram.op8_token_counts,
         "op9_bpe": bpe.op9_bpe,
     }
 
