@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, embeddings, simhash, unigram
+from . import bpe, embeddings, licenses, simhash, unigram
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_simhash": simhash.op2_simhash,
+        "op4_licenses": licenses.op4_licenses,
         "op5_embeddings": embeddings.op5_embeddings,
         "op8_token_counts": unigram.op8_token_counts,
         "op9_bpe": bpe.op9_bpe,
