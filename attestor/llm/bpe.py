@@ -18,6 +18,7 @@ never influence each other.
 from __future__ import annotations
 
 import base64
+import struct
 from itertools import islice
 
 import numpy as np
@@ -30,9 +31,10 @@ from pyspark.sql.types import BinaryType, StructField, StructType
 from .common import read_table, ship_code
 
 #: Pieces kept with their ids by one worker; the cache starts anew beyond it.
-CACHE = 400_000
+CACHE = 600_000
+_NEVER = 1 << 62
 _CACHE_BYTES, _PAIRS, _TEXT, _BLOCK, _ROWS = 64, 1 << 20, 1 << 20, 1 << 16, 256
-_IDS = np.dtype("<u4")
+_IDS, _FOUR = np.dtype("<u4"), struct.Struct("<I").pack
 #: Unicode's White_Space, which the tokenizer library means by \s.
 _SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
@@ -43,37 +45,83 @@ class Vocabulary:
     def __init__(self, data: bytes):
         self.ranks = {base64.b64decode(a): int(b) for a, b in (x.split() for x in data.splitlines() if x.strip())}
         self.bytes_of = dict(sorted((i, t) for t, i in self.ranks.items()))
-        self.longest = max(map(len, self.ranks), default=0)
         if missing := [i for i in range(256) if bytes([i]) not in self.ranks]:
             raise ValueError(f"no token for the bytes {missing[:5]}")
-        self._apart: dict[tuple[int, int], bool] = {}
-        self._own: dict[int, bool] = {}
+        #: Tokens that merging produces, and the two that each was merged from.
+        self.produced: dict[bytes, int] = {}
+        self.halves: dict[int, tuple[int, int]] = {}
+        for token, data in self.bytes_of.items():
+            *_, before, last = [None, *self._merges(data)]
+            if last == [data]:
+                self.produced[data] = token
+                if before:
+                    self.halves[token] = (self.ranks[before[0]], self.ranks[before[1]])
+        self.longest = max(map(len, self.produced))
+        self._apart: dict[int, bool] = {}
+
+    def _merges(self, data: bytes):
+        """The parts after each merge of the pair of lowest rank, leftmost
+        first, the single bytes before all."""
+        parts, get = [data[i : i + 1] for i in range(len(data))], self.ranks.get
+        ranks = [get(data[i : i + 2], _NEVER) for i in range(len(data) - 1)]
+        yield parts
+        while ranks and (least := min(ranks)) < _NEVER:
+            i = ranks.index(least)
+            parts = [*parts[:i], parts[i] + parts[i + 1], *parts[i + 2 :]]
+            del ranks[i]
+            if i < len(ranks):
+                ranks[i] = get(parts[i] + parts[i + 1], _NEVER)
+            if i:
+                ranks[i - 1] = get(parts[i - 1] + parts[i], _NEVER)
+            yield parts
 
     def merge(self, data: bytes) -> list[int]:
-        """The encoding by merging the pair of lowest rank, leftmost first."""
-        parts, ranks = [data[i : i + 1] for i in range(len(data))], self.ranks
-        while len(parts) > 1:
-            rank, i = min((ranks.get(parts[i] + parts[i + 1], 1 << 62), i) for i in range(len(parts) - 1))
-            if rank == 1 << 62:
-                break
-            parts[i : i + 2] = [parts[i] + parts[i + 1]]
-        return [ranks[x] for x in parts]
-
-    def produced(self, token: int) -> bool:
-        known = self._own.get(token)
-        if known is None:
-            known = self._own[token] = self.merge(self.bytes_of[token]) == [token]
-        return known
+        """The encoding by merging, for comparison and for tokens alone."""
+        *_, parts = self._merges(data)
+        return [self.ranks[x] for x in parts]
 
     def apart(self, left: int, right: int) -> bool:
-        """Whether the two tokens stay as they are when they stand together."""
-        known = self._apart.get((left, right))
+        """Whether two produced tokens stay as they are when they stand
+        together: no merge ever crosses their border. Going back in time, the
+        token at the border that was merged last is taken into its halves; a
+        crossing merge of the two now at the border would have come first if
+        its rank is below those of the merges that consumed them, or as low on
+        the right, where the border lies further left."""
+        key = left << 32 | right
+        known = self._apart.get(key)
         if known is None:
             if len(self._apart) >= _PAIRS:
                 self._apart.clear()
-            known = self._apart[left, right] = self.merge(self.bytes_of[left] + self.bytes_of[right]) == [left, right]
+            known = self._apart[key] = self._stay(left, right)
         return known
 
+    def _stay(self, x: int, y: int) -> bool:
+        of, get, halves, until_x, until_y = self.bytes_of, self.ranks.get, self.halves, _NEVER, _NEVER
+        while True:
+            across = get(of[x] + of[y], _NEVER)
+            if across < until_x and across <= until_y and across < _NEVER:
+                return False
+            if y in halves and (y >= x or x not in halves):
+                until_y, y = y, halves[y][0]
+            elif x in halves:
+                until_x, x = x, halves[x][1]
+            else:
+                return True
+
+    def extend(self, data: bytes, last: list[int], at: int, stop: int) -> None:
+        """Fill in the last tokens of the prefixes of over at bytes."""
+        get, pairs, longest = self.produced.get, self._apart, self.longest
+        for end in range(at + 1, stop + 1):
+            for start in range(end - longest if end > longest else 0, end):
+                token = get(data[start:end])
+                if token is not None:
+                    if not start:
+                        break
+                    ok = pairs.get(last[start] << 32 | token)
+                    if ok or ok is None and self.apart(last[start], token):
+                        break
+            last[end] = token
+
 
 class PrefixTable:
     """The last token of each prefix's encoding, of one piece of bytes."""
@@ -86,8 +134,7 @@ class PrefixTable:
         at = len(self.data)
         self.data += more
         self.last.extend([-1] * len(more))
-        for end in range(at + 1, len(self.data) + 1):
-            self.last[end] = self._ending(end)
+        self.vocabulary.extend(self.data, self.last, at, len(self.data))
 
     def replace(self, start: int, stop: int, new: bytes) -> int:
         """Put new in the place of data[start:stop]; returns how many table
@@ -99,7 +146,8 @@ class PrefixTable:
         self.data = self.data[:start] + new + self.data[stop:]
         self.last, same, found = old[: start + 1], 0, 0
         for end in range(start + 1, len(self.data) + 1):
-            self.last.append(self._ending(end))
+            self.last.append(-1)
+            self.vocabulary.extend(self.data, self.last, end - 1, end)
             found += 1
             was = end - shift
             same = same + 1 if end > start + len(new) and was > stop and old[was] == self.last[end] else 0
@@ -108,15 +156,6 @@ class PrefixTable:
                 break
         return found
 
-    def _ending(self, end: int) -> int:
-        v, data, last = self.vocabulary, self.data, self.last
-        get = v.ranks.get
-        for start in range(max(0, end - v.longest), end):
-            token = get(data[start:end])
-            if token is not None and v.produced(token) and (not start or v.apart(last[start], token)):
-                return token
-        raise AssertionError("every prefix has an encoding")
-
     def tokens(self, end: int | None = None) -> list[int]:
         """The encoding of the prefix of so many bytes, of all by default."""
         end, out = len(self.data) if end is None else end, []
@@ -138,7 +177,8 @@ class Encoder(dict):
     def __missing__(self, piece: str) -> bytes:
         data, v = piece.encode(), self.vocabulary
         token = v.ranks.get(data)
-        packed = np.array([token] if token is not None else PrefixTable(v, data).tokens(), _IDS).tobytes()
+        ids = [token] if token is not None else PrefixTable(v, data).tokens()
+        packed = b"".join([_FOUR(i) for i in ids])
         if len(data) <= _CACHE_BYTES:
             if len(self) >= CACHE:
                 self.clear()
