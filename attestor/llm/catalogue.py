@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, embeddings, langid, licenses, simhash, unigram
+from . import bpe, embeddings, katz, langid, licenses, simhash, unigram
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,6 +14,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_simhash": simhash.op2_simhash,
         "op4_licenses": licenses.op4_licenses,
         "op5_embeddings": embeddings.op5_embeddings,
+        "op6_katz": katz.op6_katz,
         "op7_language": langid.op7_language,
         "op8_token_counts": unigram.op8_token_counts,
         "op9_bpe": bpe.op9_bpe,
