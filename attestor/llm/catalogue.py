@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, embeddings, katz, langid, licenses, simhash, unigram
+from . import bpe, decontaminate, embeddings, katz, langid, licenses, simhash, unigram
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_simhash": simhash.op2_simhash,
+        "op3_decontaminate": decontaminate.op3_decontaminate,
         "op4_licenses": licenses.op4_licenses,
         "op5_embeddings": embeddings.op5_embeddings,
         "op6_katz": katz.op6_katz,
