@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, embeddings, katz, langid, licenses, simhash, unigram
+from . import bpe, decontaminate, embeddings, katz, langid, licenses, linededup, simhash, unigram
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_line_dedup": linededup.op1_line_dedup,
         "op2_simhash": simhash.op2_simhash,
         "op3_decontaminate": decontaminate.op3_decontaminate,
         "op4_licenses": licenses.op4_licenses,
