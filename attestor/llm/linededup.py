@@ -101,7 +101,9 @@ def _deleted(n: int, spans) -> np.ndarray:
     return np.cumsum(edge)[:n] > 0
 
 
-@F.pandas_udf("text string, n_lines long, n_deleted long, deleted array<struct<first: long, stop: long>>")
+_NEW = "text string, n_lines long, n_deleted long, deleted array<struct<first: long, stop: long>>"
+
+
 def _rewrite(text: pd.Series, spans: pd.Series) -> pd.DataFrame:
     out = []
     for t, s in zip(text, spans, strict=True):
@@ -128,7 +130,7 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     keyed = docs.select(F.struct("*").alias("row")).select("row", F.col("row.doc_id").cast("long").alias("_doc"), F.xxhash64(text).alias("_th"))
     spans = repeated(docs, min_words).select(F.col("doc_id").alias("_d"), F.col("th").alias("_t"), "spans")
     both = keyed.join(spans, F.col("_doc").eqNullSafe(F.col("_d")) & (F.col("_th") == F.col("_t")), "left")
-    return both.select("row", _rewrite(text, F.col("spans")).alias("new")).select("row", "new.*")
+    return both.select("row", F.pandas_udf(_rewrite, _NEW)(text, F.col("spans")).alias("new")).select("row", "new.*")
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
