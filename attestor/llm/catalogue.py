@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, embeddings, katz, langid, licenses, linededup, simhash, unigram
+from . import bpe, decontaminate, embeddings, htmltext, katz, langid, licenses, linededup, simhash, unigram
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -20,6 +20,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_language": langid.op7_language,
         "op8_token_counts": unigram.op8_token_counts,
         "op9_bpe": bpe.op9_bpe,
+        "op10_html": htmltext.op10_html,
     }
 
 
