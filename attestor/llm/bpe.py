@@ -258,14 +258,14 @@ def decode(encoded: DataFrame, vocabulary: str, pattern: str) -> DataFrame:
 
 
 def digests(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256) under the production
-    vocabulary, from encoding and decoding every text."""
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256, ids) under the
+    production vocabulary, from encoding and decoding every text."""
     import public_tokenizers
 
     how = (public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
     both = decode(encode(docs, *how), *how)
-    return both.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    return both.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"), "ids")
 
 
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return digests(read_table(spark, sf_dir, "documents"))
+    return digests(read_table(spark, sf_dir, "documents")).drop("ids")

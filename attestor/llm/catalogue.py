@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
 from . import bpe, decontaminate, embeddings, htmltext, katz, langid, licenses, linededup, simhash, unigram
@@ -11,6 +12,7 @@ from . import bpe, decontaminate, embeddings, htmltext, katz, langid, licenses,
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "pipeline": corpus_pipeline.run,
         "op1_line_dedup": linededup.op1_line_dedup,
         "op2_simhash": simhash.op2_simhash,
         "op3_decontaminate": decontaminate.op3_decontaminate,

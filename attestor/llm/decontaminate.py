@@ -218,7 +218,8 @@ def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
     yield sorted(block)
 
 
-_SCHEMA = "doc_id long, item_id long, n_chars long, edits long, start long, end long"
+_COLUMNS = ["doc_id", "item_id", "n_chars", "edits", "start", "end"]
+_SCHEMA = ", ".join(f"{c} long" for c in [*_COLUMNS, "th"])
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) -> DataFrame:
@@ -231,9 +232,15 @@ def contamination(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) ->
     fewer than Q characters are found where they stand literally. Document
     rows with equal or null doc_id are searched apart.
     """
+    return _search(docs, benchmark, rate).select(*_COLUMNS)
+
+
+def _search(docs: DataFrame, benchmark: DataFrame, rate: float) -> DataFrame:
+    """contamination() with th, xxhash64 of the document's text."""
     spark = docs.sparkSession
     ship_code(spark)
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    text = F.col("text").cast("string")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("th"), text.alias("text"))
     out = None
     for block in _blocks(benchmark):
         shared = spark.sparkContext.broadcast(Index(block, rate))
@@ -242,9 +249,10 @@ def contamination(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) ->
             for whole in batches:
                 for at in range(0, whole.num_rows, 2048):
                     batch = whole.slice(at, 2048)
-                    ids, found = batch.column("doc_id").to_pylist(), list(_matches(shared.value, batch.column("text").to_pylist()))
-                    columns = [[ids[d] for d, *_ in found], *([x[c] for x in found] for c in range(1, 6))]
-                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["doc_id", "item_id", "n_chars", "edits", "start", "end"])
+                    ids, hashes, texts = (batch.column(c).to_pylist() for c in ("doc_id", "th", "text"))
+                    found = list(_matches(shared.value, texts))
+                    columns = [[ids[d] for d, *_ in found], *([x[c] for x in found] for c in range(1, 6)), [hashes[d] for d, *_ in found]]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], [*_COLUMNS, "th"])
 
         part = rows.mapInArrow(search, _SCHEMA)
         out = part if out is None else out.unionByName(part)
@@ -252,10 +260,10 @@ def contamination(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) ->
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) -> DataFrame:
-    """The rows of docs in which no passage is found. A null doc_id can't be
-    told apart, so rows without one stay only if none of them has a passage."""
-    bad = contamination(docs, benchmark, rate).select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, F.col("doc_id").cast("long").eqNullSafe(F.col("_bad")), "left_anti")
+    """The rows of docs in which no passage is found."""
+    bad = _search(docs, benchmark, rate).select(F.col("doc_id").alias("_doc"), F.col("th").alias("_th")).distinct()
+    doc, th = F.col("doc_id").cast("long"), F.xxhash64(F.col("text").cast("string"))
+    return docs.join(bad, doc.eqNullSafe(F.col("_doc")) & (th == F.col("_th")), "left_anti")
 
 
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from .common import read_table, ship_code
 
@@ -186,8 +187,9 @@ def train(docs: DataFrame, per_lang: int = PER_LANG) -> Model:
     return Model(x, [lang for lang, *_ in got])
 
 
-def predict(docs: DataFrame, model: Model) -> DataFrame:
-    """docs' doc_id and text with lang_pred and score for every row.
+def predict(docs: DataFrame, model: Model, keep_text: bool = False) -> DataFrame:
+    """(row, lang_pred, score) for every row of docs; row is a struct of the
+    columns as given, without text unless keep_text is set.
 
     lang_pred is a learned language, or `und` with score 0 if the text is null
     or has no letter, or if nothing was learned. Only the text is looked at.
@@ -200,18 +202,19 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
         for batch in batches:
             found = [m.predict(features(x.as_py())) for x in batch.column("text")]
             lang, score = zip(*found, strict=True) if found else ((), ())
-            rest = [batch.column(c) for c in batch.schema.names if c != "text"]
-            yield pa.RecordBatch.from_arrays([*rest, pa.array(lang, pa.string()), pa.array(score, pa.float64())], [*(c for c in batch.schema.names if c != "text"), "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(lang, pa.string()), pa.array(score, pa.float64())], ["row", "lang_pred", "score"])
 
-    rest = [f"`{c}` {t}" for c, t in docs.dtypes if c != "text"]
-    return docs.mapInArrow(rows, ", ".join([*rest, "lang_pred string", "score double"]))
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns if keep_text or c != "text")).alias("row")
+    given = docs.select(row, F.col("text").cast("string").alias("text"))
+    return given.mapInArrow(rows, StructType([given.schema["row"], StructField("lang_pred", StringType()), StructField("score", DoubleType())]))
 
 
 def identify(docs: DataFrame) -> DataFrame:
     """(doc_id, held_out, lang_pred, score) for every row of docs, learned
     from the rows that are not held out."""
     model = train(docs.where(~held_out(F.col("doc_id"))))
-    return predict(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+    found = predict(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), model)
+    return found.select("row.doc_id", "lang_pred", "score").select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:

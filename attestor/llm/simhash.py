@@ -56,13 +56,15 @@ def _fingerprints(batches):
     for batch in batches:
         texts = batch.column("text")
         prints = np.fromiter((fingerprint(x.as_py()) for x in texts), np.uint64, len(texts)).view(np.int64)
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(prints)], ["doc_id", "fp"])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("th"), pa.array(prints)], ["doc_id", "th", "fp"])
 
 
 def with_fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp): the fingerprint as a signed 64-bit integer."""
+    """(doc_id, th, fp): th is xxhash64 of the text, fp the fingerprint as a
+    signed 64-bit integer."""
     ship_code(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_fingerprints, "doc_id long, fp long")
+    text = F.col("text").cast("string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("th"), text.alias("text")).mapInArrow(_fingerprints, "doc_id long, th long, fp long")
 
 
 def _high(fp: Column) -> Column:
@@ -97,7 +99,19 @@ def links(ws: Workspace, prints: DataFrame) -> DataFrame:
     return pairs.unionByName(chained)
 
 
-def near_duplicates(docs: DataFrame, name: str = "simhash") -> DataFrame:
+def components(docs: DataFrame) -> DataFrame:
+    """(doc_id, th, fp, component, component_id) for every row of docs."""
+    ws = Workspace(docs.sparkSession, "simhash")
+    all_docs = ws.write(with_fingerprints(docs), "fingerprints")
+    classes = ws.write(all_docs.groupBy("fp").agg(F.min("doc_id").alias("rep")), "classes")
+    comps = connected_components(ws, links(ws, classes.select("fp")))
+    placed = classes.join(comps, classes.fp == comps.node, "left").select("fp", "rep", F.coalesce("component", "fp").alias("component"))
+    placed = ws.write(placed, "placed")
+    least = placed.groupBy("component").agg(F.min("rep").alias("component_id"))
+    return all_docs.join(placed.join(least, "component").select("fp", "component", "component_id"), "fp")
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, fingerprint, component_id) for every row of docs.
 
     fingerprint is 16 lowercase hex digits. component_id is the smallest
@@ -106,27 +120,21 @@ def near_duplicates(docs: DataFrame, name: str = "simhash") -> DataFrame:
     any other. Rows whose doc_id is null are kept, their component_id is the
     smallest doc_id of their component or null. An empty table gives none.
     """
-    ws = Workspace(docs.sparkSession, name)
-    all_docs = ws.write(with_fingerprints(docs), "fingerprints")
-    classes = ws.write(all_docs.groupBy("fp").agg(F.min("doc_id").alias("rep")), "classes")
-    comps = connected_components(ws, links(ws, classes.select("fp")))
-    placed = classes.join(comps, classes.fp == comps.node, "left").select("fp", "rep", F.coalesce("component", "fp").alias("component"))
-    placed = ws.write(placed, "placed")
-    least = placed.groupBy("component").agg(F.min("rep").alias("component_id"))
-    named = placed.join(least, "component").select("fp", "component_id")
-    return all_docs.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return components(docs).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of docs of which one document of each component stays: that
-    with the smallest doc_id, once. Rows with a null doc_id stay only where
-    their component has no doc_id, one of each."""
-    found = near_duplicates(docs, "simhash-keep")
-    if docs.schema["doc_id"].dataType.typeName() == "void":
-        return docs.limit(0)
-    keep = found.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    rows = docs.join(keep, "doc_id", "left_semi")
-    return rows
+    """One row of docs for each component: that with the smallest doc_id (null
+    last), of equals that whose text has the smallest hash."""
+    key = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "th")
+    ws = Workspace(docs.sparkSession, "simhash-keep")
+    found = components(docs).groupBy("component", key.alias("key")).agg(F.count("*").alias("n")).groupBy("component").agg(F.min_by(F.struct("key", "n"), "key").alias("kept"))
+    keep = ws.write(found.select(F.col("kept.key.doc_id").alias("_doc"), F.col("kept.key.th").alias("_th"), F.col("kept.n").alias("n")), "kept")
+    doc, th = F.col("doc_id").cast("long"), F.xxhash64(F.col("text").cast("string"))
+    rows = docs.join(keep, doc.eqNullSafe(F.col("_doc")) & (th == F.col("_th")), "left_semi")
+    if keep.where("n > 1").isEmpty():
+        return rows
+    return rows.dropDuplicates(["doc_id", "text"])
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
