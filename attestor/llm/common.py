@@ -8,6 +8,7 @@ import os
 import tempfile
 import uuid
 import zipfile
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,6 +34,19 @@ def shared_dir(spark: SparkSession) -> str:
     return _LOCAL_DIRS[app]
 
 
+@contextmanager
+def _shuffle_cleanup(spark: SparkSession):
+    """While this holds, shuffle files go when the execution that made them
+    ends; what is written does not need them any more."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    was = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, was) if was is not None else spark.conf.unset(key)
+
+
 class Workspace:
     """A new folder of one operator run below the shared folder.
 
@@ -47,6 +61,10 @@ class Workspace:
 
     def write(self, df: DataFrame, name: str, *partition_by: str) -> DataFrame:
         self._n += 1
+        with _shuffle_cleanup(self.spark):
+            return self._write(df, name, partition_by)
+
+    def _write(self, df: DataFrame, name: str, partition_by: tuple[str, ...]) -> DataFrame:
         out, writer = f"{self.path}/{self._n:03d}-{name}", df.write.option("compression", "zstd")
         (writer.partitionBy(*partition_by) if partition_by else writer).parquet(out)
         return self.spark.read.schema(df.schema).parquet(out)
