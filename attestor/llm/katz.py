@@ -95,14 +95,19 @@ class _Words(dict):
 
 
 def _batches(rows):
-    """Token batches: word numbers are places in the batch's sorted hashes."""
+    """Token batches. Words are numbered by falling frequency and then by hash,
+    which packs well."""
     import uuid
 
     def flush():
         hashes = np.array(words.hashes, np.uint64)
         keys, place = np.unique(hashes, return_inverse=True)
-        tokens = place[np.concatenate(parts)].astype(np.uint32)
-        out = [uuid.uuid4().int >> 65, len(keys), len(tokens), _pack_keys(keys), _pack(tokens), _pack(np.array(sizes, np.int64)), ids, _pack(np.array(train, np.uint8))]
+        tokens = place[np.concatenate(parts)]
+        order = np.lexsort((keys, -np.bincount(tokens, minlength=len(keys))))
+        number = np.empty(len(keys), np.uint32)
+        number[order] = np.arange(len(keys), dtype=np.uint32)
+        tokens = number[tokens]
+        out = [uuid.uuid4().int >> 65, len(keys), len(tokens), _pack_keys(keys[order]), _pack(tokens), _pack(np.array(sizes, np.int64)), ids, _pack(np.array(train, np.uint8))]
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.binary()]
         return pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(out, kinds, strict=True)], ["batch", "n_words", "n_tokens", "words", "tokens", "sizes", "ids", "train"])
 
@@ -130,8 +135,9 @@ _BATCH_SCHEMA = "batch long, n_words long, n_tokens long, words binary, tokens b
 
 class _Batch:
     def __init__(self, row: dict):
-        self.id, self.words, self.ids = row["batch"], _unpack_keys(row["words"]), row["ids"]
-        self.w, sizes, train = _unpack(row["tokens"], np.uint32).astype(np.int64), _unpack(row["sizes"], np.int64), _unpack(row["train"], np.uint8).astype(bool)
+        self.id, self.ids = row["batch"], row["ids"]
+        self.words, place = np.unique(_unpack_keys(row["words"]), return_inverse=True)
+        self.w, sizes, train = place[_unpack(row["tokens"], np.uint32)], _unpack(row["sizes"], np.int64), _unpack(row["train"], np.uint8).astype(bool)
         self.ends = np.cumsum(sizes)
         self.doc = np.repeat(np.arange(len(sizes)), sizes)
         self.train, self.in_train = train, train[self.doc]
