@@ -129,7 +129,8 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     text = F.col("row.text").cast("string")
     keyed = docs.select(F.struct("*").alias("row")).select("row", F.col("row.doc_id").cast("long").alias("_doc"), F.xxhash64(text).alias("_th"))
     spans = repeated(docs, min_words).select(F.col("doc_id").alias("_d"), F.col("th").alias("_t"), "spans")
-    both = keyed.join(spans, F.col("_doc").eqNullSafe(F.col("_d")) & (F.col("_th") == F.col("_t")), "left")
+    # A merge join at every size: many spans would not fit a broadcast.
+    both = keyed.join(spans.hint("merge"), F.col("_doc").eqNullSafe(F.col("_d")) & (F.col("_th") == F.col("_t")), "left")
     return both.select("row", F.pandas_udf(_rewrite, _NEW)(text, F.col("spans")).alias("new")).select("row", "new.*")
 
 
