@@ -218,8 +218,7 @@ def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
     yield sorted(block)
 
 
-_COLUMNS = ["doc_id", "item_id", "n_chars", "edits", "start", "end"]
-_SCHEMA = ", ".join(f"{c} long" for c in [*_COLUMNS, "th"])
+_COLUMNS, _ROWS = ["doc_id", "item_id", "n_chars", "edits", "start", "end"], 2048
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) -> DataFrame:
@@ -232,38 +231,44 @@ def contamination(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) ->
     fewer than Q characters are found where they stand literally. Document
     rows with equal or null doc_id are searched apart.
     """
-    return _search(docs, benchmark, rate).select(*_COLUMNS)
-
-
-def _search(docs: DataFrame, benchmark: DataFrame, rate: float) -> DataFrame:
-    """contamination() with th, xxhash64 of the document's text."""
     spark = docs.sparkSession
     ship_code(spark)
-    text = F.col("text").cast("string")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("th"), text.alias("text"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     out = None
     for block in _blocks(benchmark):
         shared = spark.sparkContext.broadcast(Index(block, rate))
 
         def search(batches, shared=shared):
             for whole in batches:
-                for at in range(0, whole.num_rows, 2048):
-                    batch = whole.slice(at, 2048)
-                    ids, hashes, texts = (batch.column(c).to_pylist() for c in ("doc_id", "th", "text"))
-                    found = list(_matches(shared.value, texts))
-                    columns = [[ids[d] for d, *_ in found], *([x[c] for x in found] for c in range(1, 6)), [hashes[d] for d, *_ in found]]
-                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], [*_COLUMNS, "th"])
-
-        part = rows.mapInArrow(search, _SCHEMA)
+                for at in range(0, whole.num_rows, _ROWS):
+                    batch = whole.slice(at, _ROWS)
+                    ids = batch.column("doc_id").to_pylist()
+                    found = list(_matches(shared.value, batch.column("text").to_pylist()))
+                    columns = [[ids[d] for d, *_ in found], *([x[c] for x in found] for c in range(1, 6))]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], _COLUMNS)
+
+        part = rows.mapInArrow(search, ", ".join(f"{c} long" for c in _COLUMNS))
         out = part if out is None else out.unionByName(part)
     return out
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) -> DataFrame:
-    """The rows of docs in which no passage is found."""
-    bad = _search(docs, benchmark, rate).select(F.col("doc_id").alias("_doc"), F.col("th").alias("_th")).distinct()
-    doc, th = F.col("doc_id").cast("long"), F.xxhash64(F.col("text").cast("string"))
-    return docs.join(bad, doc.eqNullSafe(F.col("_doc")) & (th == F.col("_th")), "left_anti")
+    """The rows of docs in which no passage is found, filtered in place."""
+    spark, names = docs.sparkSession, docs.columns
+    ship_code(spark)
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("row"))
+    for block in _blocks(benchmark):
+        shared = spark.sparkContext.broadcast(Index(block, rate))
+
+        def keep(batches, shared=shared):
+            for whole in batches:
+                for at in range(0, whole.num_rows, _ROWS):
+                    batch = whole.slice(at, _ROWS)
+                    found = {d for d, *_ in _matches(shared.value, batch.column("text").to_pylist())}
+                    yield batch.filter(pa.array([i not in found for i in range(batch.num_rows)], pa.bool_())).select(["row"])
+
+        rows = rows.withColumn("text", F.col("row.text").cast("string")).mapInArrow(keep, rows.schema)
+    return rows.select("row.*")
 
 
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
