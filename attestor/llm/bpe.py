@@ -31,9 +31,9 @@ from pyspark.sql.types import BinaryType, StructField, StructType
 from .common import read_table, ship_code
 
 #: Pieces kept with their ids by one worker; the cache starts anew beyond it.
-CACHE = 600_000
+CACHE = 400_000
 _NEVER = 1 << 62
-_CACHE_BYTES, _PAIRS, _TEXT, _BLOCK, _ROWS = 64, 1 << 20, 1 << 20, 1 << 16, 256
+_CACHE_BYTES, _PAIRS, _TEXT, _BLOCK, _ROWS = 64, 400_000, 1 << 20, 1 << 16, 256
 _IDS, _FOUR = np.dtype("<u4"), struct.Struct("<I").pack
 #: Unicode's White_Space, which the tokenizer library means by \s.
 _SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -221,25 +221,31 @@ def _vocabulary(docs: DataFrame, vocabulary: str):
         return docs.sparkSession.sparkContext.broadcast(f.read())
 
 
-def encode(docs: DataFrame, vocabulary: str, pattern: str) -> DataFrame:
+def encode(docs: DataFrame, vocabulary: str, pattern: str, decoded: bool = False) -> DataFrame:
     """(doc_id, n_tokens, ids) for every row of docs.
 
     ids is binary: the ids of the whole text as little-endian unsigned 32-bit
     integers. vocabulary is the path of a rank file on the driver. A null text
-    counts as empty and has no ids. No special tokens are recognised.
+    counts as empty and has no ids. No special tokens are recognised. With
+    decoded, there is one more column: the bytes that the ids decode to, as
+    decode() would add it, without a second pass.
     """
     data = _vocabulary(docs, vocabulary)
+    names = ["doc_id", "n_tokens", "ids", *["decoded"] * decoded]
 
     def rows(batches):
         e = encoder(data.value, pattern)
         for whole in batches:
             for at in range(0, whole.num_rows, _ROWS):
                 batch = whole.slice(at, _ROWS)
-                ids = [e.packed(x or "") for x in batch.column("text").to_pylist()]
-                counts = pa.array([len(x) // _IDS.itemsize for x in ids], pa.int64())
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), counts, pa.array(ids, pa.binary())], ["doc_id", "n_tokens", "ids"])
+                ids = [e.packed(x.as_py() or "") for x in batch.column("text")]
+                columns = [batch.column("doc_id"), pa.array([len(x) // _IDS.itemsize for x in ids], pa.int64()), pa.array(ids, pa.binary())]
+                if decoded:
+                    columns.append(pa.array(map(e.decode, ids), pa.binary()))
+                yield pa.RecordBatch.from_arrays(columns, names)
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(rows, "doc_id long, n_tokens long, ids binary")
+    schema = "doc_id long, n_tokens long, ids binary" + ", decoded binary" * decoded
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(rows, schema)
 
 
 def decode(encoded: DataFrame, vocabulary: str, pattern: str) -> DataFrame:
@@ -263,7 +269,7 @@ def digests(docs: DataFrame) -> DataFrame:
     import public_tokenizers
 
     how = (public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
-    both = decode(encode(docs, *how), *how)
+    both = encode(docs, *how, decoded=True)
     return both.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"), "ids")
 
 
