@@ -1,19 +1,21 @@
-"""Named queries over the driver tables, with the SQL each is compared with."""
+"""All named queries of the reference's operators."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 
+from . import evidence_queries, review_queries, text_queries  # noqa: F401  they register their queries
+from .registry import ORACLES, QUERIES
+
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """Claims with their verdicts, best evidence and provenance."""
+    return QUERIES["verify_corpus"](spark, sf_dir)
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+def queries() -> dict:
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)
