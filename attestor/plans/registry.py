@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, ShortType
 
+from attestor.shipping import ship_code
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -18,6 +20,7 @@ def query(sql: str | None = None):
 
     def add(f):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            ship_code(spark)
             df = f(spark, sf_dir)
             small = [c.name for c in df.schema if isinstance(c.dataType, (IntegerType, ShortType))]
             return df.withColumns({c: F.col(c).cast("long") for c in small})

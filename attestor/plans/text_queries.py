@@ -242,7 +242,7 @@ def extraction_telemetry(spark, d):
 
 @query(f"""
 WITH {I.BLOCKS}, b AS (SELECT * FROM blocks WHERE regexp_replace(text, '^\\s+|\\s+$', '', 'g') <> '' AND length(regexp_replace(text, '[^A-Za-z]', '', 'g')) >= 20),
-cut AS (SELECT doc_id, block_idx, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS t FROM b),
+cut AS (SELECT doc_id, block_idx, {_fixed_sql("regexp_replace(text, '^\\s+|\\s+$', '', 'g')")} AS t FROM b),
 each AS (SELECT doc_id, block_idx, [t] || list_filter({_sql_sentences("t")}, lambda s: length(s) >= 20) AS spans FROM cut)
 SELECT doc_id, block_idx, CAST(len(spans) AS BIGINT) AS n_spans FROM each""")
 def span_extract(spark, d):
