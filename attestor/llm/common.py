@@ -3,16 +3,16 @@ tables that cut lineage, code shipping and connected components."""
 
 from __future__ import annotations
 
-import io
 import os
 import tempfile
 import uuid
-import zipfile
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from attestor.shipping import ship_code  # noqa: F401  the operators take it from here
+
 _LOCAL_DIRS: dict[str, str] = {}
 
 
@@ -78,26 +78,6 @@ class Workspace:
                 path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def ship_code(spark: SparkSession) -> None:
-    """Give the executors this package, once an application."""
-    sc = spark.sparkContext
-    if getattr(sc, "_attestor_shipped", False):
-        return
-    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    data = io.BytesIO()
-    with zipfile.ZipFile(data, "w") as z:
-        for d, _, names in os.walk(root):
-            for f in names:
-                if f.endswith(".py"):
-                    full = os.path.join(d, f)
-                    z.write(full, os.path.relpath(full, os.path.dirname(root)))
-    at = os.path.join(tempfile.mkdtemp(prefix="attestor-code-"), "attestor.zip")
-    with open(at, "wb") as f:
-        f.write(data.getvalue())
-    sc.addPyFile(at)
-    sc._attestor_shipped = True
-
-
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
