@@ -30,10 +30,11 @@ from pyspark.sql.types import BinaryType, StructField, StructType
 
 from .common import read_table, ship_code
 
-#: Pieces kept with their ids by one worker; the cache starts anew beyond it.
-CACHE = 400_000
+#: Pieces kept with their ids by one worker, twice: when so many are new, they
+#: become the old ones, and old ones that were not used meanwhile go.
+CACHE = 300_000
 _NEVER = 1 << 62
-_CACHE_BYTES, _PAIRS, _TEXT, _BLOCK, _ROWS = 64, 400_000, 1 << 20, 1 << 16, 256
+_CACHE_CHARS, _PAIRS, _TEXT, _BLOCK, _ROWS = 64, 400_000, 1 << 20, 1 << 16, 256
 _IDS, _FOUR = np.dtype("<u4"), struct.Struct("<I").pack
 #: Unicode's White_Space, which the tokenizer library means by \s.
 _SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -170,17 +171,21 @@ class Encoder(dict):
 
     def __init__(self, data: bytes, pattern: str):
         super().__init__()
+        self.old: dict[str, bytes] = {}
         self.vocabulary = Vocabulary(data)
         inside = regex.sub(r"\[\^\\s", lambda _: f"[^{_SPACE}", pattern)
         self.pattern = regex.compile(inside.replace(r"\s", f"[{_SPACE}]").replace(r"\S", f"[^{_SPACE}]"))
 
     def __missing__(self, piece: str) -> bytes:
-        data, v = piece.encode(), self.vocabulary
-        token = v.ranks.get(data)
-        ids = [token] if token is not None else PrefixTable(v, data).tokens()
-        packed = b"".join([_FOUR(i) for i in ids])
-        if len(data) <= _CACHE_BYTES:
+        packed = self.old.get(piece)
+        if packed is None:
+            data, v = piece.encode(), self.vocabulary
+            token = v.ranks.get(data)
+            ids = [token] if token is not None else PrefixTable(v, data).tokens()
+            packed = b"".join([_FOUR(i) for i in ids])
+        if len(piece) <= _CACHE_CHARS:
             if len(self) >= CACHE:
+                self.old = dict(self)
                 self.clear()
             self[piece] = packed
         return packed
