@@ -34,17 +34,22 @@ def shared_dir(spark: SparkSession) -> str:
     return _LOCAL_DIRS[app]
 
 
+#: While a table is written: shuffle files go when the execution that made
+#: them ends, as what is written does not need them any more; and few bytes
+#: are handed to Python at a time, as rows may be large.
+_WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": "8m"}
+
+
 @contextmanager
-def _shuffle_cleanup(spark: SparkSession):
-    """While this holds, shuffle files go when the execution that made them
-    ends; what is written does not need them any more."""
-    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    was = spark.conf.get(key, None)
-    spark.conf.set(key, "true")
+def _settings(spark: SparkSession, wanted: dict[str, str]):
+    before = {k: spark.conf.get(k, None) for k in wanted}
+    for k, v in wanted.items():
+        spark.conf.set(k, v)
     try:
         yield
     finally:
-        spark.conf.set(key, was) if was is not None else spark.conf.unset(key)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 class Workspace:
@@ -61,7 +66,7 @@ class Workspace:
 
     def write(self, df: DataFrame, name: str, *partition_by: str) -> DataFrame:
         self._n += 1
-        with _shuffle_cleanup(self.spark):
+        with _settings(self.spark, _WRITING):
             return self._write(df, name, partition_by)
 
     def _write(self, df: DataFrame, name: str, partition_by: tuple[str, ...]) -> DataFrame:
