@@ -1,86 +1,13 @@
-"""What the operators of this subpackage share: the shared folder, written
-tables that cut lineage, code shipping and connected components."""
+"""What the operators of this subpackage share: tables and connected
+components; written tables and code shipping are the library's."""
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-from contextlib import contextmanager
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attestor.shipping import ship_code  # noqa: F401  the operators take it from here
-
-_LOCAL_DIRS: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which all executors share.
-
-    Where it is unset, a run in one process (local master) gets a temporary
-    folder; on a cluster that is an error, as executors could not see it.
-    """
-    told = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if told:
-        return told.rstrip("/")
-    master = spark.sparkContext.master
-    if not master.startswith("local") or master.startswith("local-cluster"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    app = spark.sparkContext.applicationId
-    if app not in _LOCAL_DIRS:
-        _LOCAL_DIRS[app] = tempfile.mkdtemp(prefix="attestor-")
-    return _LOCAL_DIRS[app]
-
-
-#: While a table is written: shuffle files go when the execution that made
-#: them ends, as what is written does not need them any more; and few bytes
-#: are handed to Python at a time, as rows may be large.
-_WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": "8m"}
-
-
-@contextmanager
-def _settings(spark: SparkSession, wanted: dict[str, str]):
-    before = {k: spark.conf.get(k, None) for k in wanted}
-    for k, v in wanted.items():
-        spark.conf.set(k, v)
-    try:
-        yield
-    finally:
-        for k, v in before.items():
-            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
-
-
-class Workspace:
-    """A new folder of one operator run below the shared folder.
-
-    Tables written here survive lost executors and are read back with fresh
-    statistics. They stay until the application removes the folder, since the
-    returned DataFrames read them lazily.
-    """
-
-    def __init__(self, spark: SparkSession, name: str):
-        self.spark, self.path = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-        self._n = 0
-
-    def write(self, df: DataFrame, name: str, *partition_by: str) -> DataFrame:
-        self._n += 1
-        with _settings(self.spark, _WRITING):
-            return self._write(df, name, partition_by)
-
-    def _write(self, df: DataFrame, name: str, partition_by: tuple[str, ...]) -> DataFrame:
-        out, writer = f"{self.path}/{self._n:03d}-{name}", df.write.option("compression", "zstd")
-        (writer.partitionBy(*partition_by) if partition_by else writer).parquet(out)
-        return self.spark.read.schema(df.schema).parquet(out)
-
-    def drop(self, df: DataFrame) -> None:
-        """Remove the files of a table of this workspace that nothing reads any more."""
-        jvm = self.spark.sparkContext._jvm
-        for f in {os.path.dirname(x) for x in df.inputFiles()}:
-            path = jvm.org.apache.hadoop.fs.Path(f)
-            if f.split(":", 1)[-1].lstrip("/").startswith(self.path.split(":", 1)[-1].lstrip("/")):
-                path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+from attestor.shipping import ship_code  # noqa: F401  the operators take them from here
+from attestor.workspace import Workspace, shared_dir  # noqa: F401
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
