@@ -82,7 +82,7 @@ class Automaton:
         self.step: dict[tuple[frozenset, bytes | None], frozenset] = {}
         self.first = {self.code[t][p] for t, p in self.start if p < len(self.code[t]) and isinstance(self.code[t][p], bytes)}
         if any(p == len(self.code[t]) or self.code[t][p] == ("any",) for t, p in self.start):
-            raise ValueError("a template has to begin with mandatory wording")
+            raise ValueError("a template has to begin with wording and to have some that is mandatory")
 
     @staticmethod
     def _compile(text: str) -> list:
@@ -164,12 +164,17 @@ class Scanner:
         self.base, self.phrases = _phrases(base)
         #: One longest word of each phrase: texts without any have no place.
         self.rare = [max(p, key=len) for p in self.phrases]
-        self.signs = list({max((x for x in code[: self._fixed(code)]), key=len) for code in self.automaton.code})
+        self.signs = list({max(self._mandatory(code), key=len) for code in self.automaton.code})
 
     @staticmethod
-    def _fixed(code: list) -> int:
-        """Length of the wording before any markup."""
-        return next((i for i, x in enumerate(code) if not isinstance(x, bytes)), len(code))
+    def _mandatory(code: list) -> list[bytes]:
+        """The words of a template that no text can do without."""
+        found, at = [], 0
+        while at < len(code):
+            if isinstance(code[at], bytes):
+                found.append(code[at])
+            at = code[at][1] if isinstance(code[at], tuple) and code[at][0] == "skip" else at + 1
+        return found
 
     def scan(self, text: str | None) -> tuple:
         data = (text or "").encode("utf-8", "surrogatepass").lower()

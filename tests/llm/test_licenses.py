@@ -24,13 +24,15 @@ def test_markup():
     words = lambda t: L.words(t)
     accepts = lambda t: [(x, y) for _, x, y in a.matches(words(t))]
     assert accepts("Grant use by me only") == [(0, 5)]
-    assert accepts("we grant, full and free, use by a b c only!") == [(1, 10)]
+    assert accepts("we grant, full and free, use by a b c only!") == [(1, 11)]
     assert accepts("grant full use by x only") == [(0, 6)]
     for wrong in ["grant and free use by x only", "grant use by only", "grant use by a b c d only", "grants use by x only"]:
         assert accepts(wrong) == []
-    for bad in ["a <<beginOptional>> b", "a <<endOptional>>", "<<beginOptional>>a<<endOptional>> b", 'a <<var;match="x">>']:
+    for bad in ["a <<beginOptional>> b", "a <<endOptional>>", "<<beginOptional>>a<<endOptional>>", 'a <<var;match="x">>']:
         with pytest.raises(ValueError):
             L.Automaton([("t", bad)])
+    led = L.Scanner({}, [("t", "<<beginOptional>>this is<<endOptional>> free ware")])
+    assert led.scan("this is free ware")[5] == led.scan("now free ware")[5] == "t" and led.scan("this is ware")[5] == ""
 
 
 def test_templates_are_found():
