@@ -48,8 +48,9 @@ class Tile:
     def __init__(self, ids: bytes, copies: bytes, values: bytes, int8: bytes, scales: bytes, errors: bytes):
         self.ids, self.copies = np.frombuffer(ids, np.int64), np.frombuffer(copies, np.int64)
         n = len(self.ids)
-        self.given = np.frombuffer(values, np.float64).reshape(n, -1)
         self.q = np.frombuffer(int8, np.int8).reshape(n, -1)
+        kind = np.float32 if len(values) == 4 * self.q.size else np.float64
+        self.given = np.frombuffer(values, kind).reshape(n, -1)
         self.scale, self.error = np.frombuffer(scales), np.frombuffer(errors)
 
     @staticmethod
@@ -57,6 +58,9 @@ class Tile:
         unit = given / np.abs(given).max(axis=1, keepdims=True)
         unit /= np.sqrt((unit * unit).sum(axis=1, keepdims=True))
         q, scale, error = quantise(unit)
+        with np.errstate(over="ignore"):
+            single = given.astype(np.float32)
+        given = single if (single == given).all() else given  # as exact, and half as large
         return {"ids": ids.astype(np.int64).tobytes(), "copies": copies.astype(np.int64).tobytes(), "given": given.tobytes(), "int8": q.tobytes(), "scales": scale.tobytes(), "errors": error.tobytes()}
 
 
@@ -65,6 +69,7 @@ _TILE_COLUMNS = "ids binary, copies binary, given binary, int8 binary, scales bi
 
 def cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Cosine of each row of a with the same row of b in double precision."""
+    a, b = a.astype(np.float64), b.astype(np.float64)
     a, b = a / np.abs(a).max(axis=1, keepdims=True), b / np.abs(b).max(axis=1, keepdims=True)
     return (a * b).sum(axis=1) / np.sqrt((a * a).sum(axis=1) * (b * b).sum(axis=1))
 
