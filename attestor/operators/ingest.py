@@ -53,7 +53,7 @@ def paper_metadata(title: Column, author: Column, date: Column, first_page: Colu
     """struct<title, authors, year>, null if nothing is known. Authors are cut
     at semicolons and at commas between a lower and an upper case letter."""
     clean = F.trim(F.coalesce(title, F.lit("")))
-    names = F.filter(F.transform(F.split(F.trim(F.coalesce(author, F.lit(""))), r"[;]|(?<=[a-z]),\s*(?=[A-Z])"), F.trim), lambda a: a != "")
+    names = F.filter(F.transform(F.split(F.trim(F.coalesce(author, F.lit(""))), r"[;]|(?<=[a-z]),\s*(?=[A-Z])"), lambda a: F.trim(a)), lambda a: a != "")
     dated = F.regexp_extract(F.coalesce(date, F.lit("")), r"((?:19|20)\d{2})", 1)
     seen = F.regexp_extract(F.substring(F.coalesce(first_page, F.lit("")), 1, 2000), r"\b((?:19|20)\d{2})\b", 1)
     year = F.nullif(F.when(dated != "", dated).otherwise(seen), F.lit(""))
