@@ -26,13 +26,16 @@ def fix_word_boundaries(text: Column) -> Column:
     """Put back spaces, and take away hyphens, that line breaks have eaten or
     left: after sentence ends, between lower and upper case, inside hyphenated
     names, before function words glued to a word, before common endings, and
-    in known joined words, which keep a capital."""
+    in known joined words, which keep a capital.
+
+    A match of letters can always begin where their run begins, so patterns
+    that start with such a run look behind and are not tried inside it."""
     t = F.regexp_replace(text, r"([a-z])([.,])([A-Z])", "$1$2 $3")
     t = F.regexp_replace(t, r"([a-z])([,;])([a-z])", "$1$2 $3")
     t = F.regexp_replace(t, r"([a-z])([A-Z])", "$1 $2")
     t = F.regexp_replace(t, pattern(rf"([A-Z][a-z]{{2,}})-(?!(?:{literal(fixed.KEEP_AFTER_HYPHEN)})\b)([a-z]{{2,5}})\b"), "$1$2")
-    t = F.regexp_replace(t, pattern(rf"([a-z]{{4,}})({fixed.GLUED_WORDS})\b"), "$1 $2")
-    t = F.regexp_replace(t, pattern(rf"([a-z]{{3,}})-({fixed.HYPHEN_ENDINGS})\b", any_case=True), "$1$2")
+    t = F.regexp_replace(t, pattern(rf"(?<![a-z])([a-z]{{4,}})({fixed.GLUED_WORDS})\b"), "$1 $2")
+    t = F.regexp_replace(t, pattern(rf"(?<![a-z])([a-z]{{3,}})-({fixed.HYPHEN_ENDINGS})\b", any_case=True), "$1$2")
     known = F.array(*(F.struct(F.lit(p).alias("p"), F.lit(r).alias("r")) for p, r in _known_joins()))
     joined = F.aggregate(known, t, lambda text, k: F.regexp_replace(text, k["p"], k["r"]))
     return F.when(found(t, rf"\b(?:{literal(fixed.KNOWN_JOINS)})\b", any_case=True), joined).otherwise(t)
