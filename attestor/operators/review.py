@@ -131,3 +131,34 @@ def current_status(log: DataFrame, s: Settings = DEFAULTS) -> DataFrame:
     event log (run_id, status, changed_at, event_id)."""
     last = log.groupBy("run_id").agg(F.max_by(F.struct("status", "changed_at"), F.struct("changed_at", "event_id")).alias("_l"))
     return last.select("run_id", "_l.*")
+
+
+def results(runs: DataFrame, claims: DataFrame, verdicts: DataFrame, run_id: object) -> DataFrame:
+    """A run's claims with their verdicts and the run's status and errors
+    (claim_errors of its settings, JSON)."""
+    run = runs.where(F.col("run_id") == F.lit(run_id)).select("run_id", "status", F.col("pipeline_config")["claim_errors"].alias("claim_errors"))
+    judged = verdicts.where(F.col("run_id") == F.lit(run_id)).select("claim_id", "verdict_type", "confidence", "reasoning")
+    rows = claims.where(F.col("run_id") == F.lit(run_id)).select("run_id", "claim_id", "claim_text").join(judged, "claim_id", "left")
+    return run.join(rows, "run_id", "left")
+
+
+def top_evidence(evidence: DataFrame, n: int = 3) -> DataFrame:
+    """The first n evidence spans of each claim by rank, for explanations."""
+    order = Window.partitionBy("claim_id").orderBy("retrieval_rank")
+    return evidence.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= n).drop("_n")
+
+
+def by_weight(weights: DataFrame) -> DataFrame:
+    """Evidence of claims in the order it is shown: the heaviest first."""
+    return weights.orderBy("claim_id", F.desc("weight"), "retrieval_rank")
+
+
+def self_verified(reasoning: Column) -> Column:
+    """Whether a verdict carries the self-verify mark."""
+    return F.contains(reasoning, F.lit("[Self-verify cap"))
+
+
+def add_source_names(rows: DataFrame, documents: DataFrame, key: str = "source_document_id") -> DataFrame:
+    """rows with the filename of their document; null if there is none."""
+    names = documents.select(F.col("doc_id").alias("_doc"), F.col("filename").alias("source_filename"))
+    return rows.join(names, F.col(key) == F.col("_doc"), "left").drop("_doc")

@@ -75,3 +75,22 @@ def append_results(results: DataFrame, path: str) -> None:
 def write_bins(binned: DataFrame, path: str) -> None:
     """Reliability bins, one row a bin, as CSV with a header."""
     binned.orderBy("bin").coalesce(1).write.mode("overwrite").option("header", "true").csv(path)
+
+
+def dev_pairs(claims: DataFrame, corpus: DataFrame) -> DataFrame:
+    """(id, premise, hypothesis, label), one for each claim: its first piece
+    of evidence (by document), else the first three sentences of the first
+    abstract that it cites and that is there; without any, "No evidence."."""
+    c = corpus.select(F.col("doc_id").alias("_doc"), "abstract")
+    text = lambda a: F.trim(F.array_join(a, " "))
+    first = F.element_at(F.array_sort(F.map_entries("evidence")), 1)
+    rows = claims.withColumn("_e", F.when(F.coalesce(F.size(F.map_keys("evidence")), F.lit(0)) > 0, first))
+    proof = rows.where("_e is not null").select("id", "claim", F.col("_e.key").cast("long").alias("_doc"), F.col("_e.value")[0].alias("_i")).join(c, "_doc", "left")
+    picked = F.transform(F.filter("_i.sentences", lambda i: i < F.size("abstract")), lambda i: F.element_at("abstract", i + 1))
+    chosen = F.when((F.size("_i.sentences") > 0) & (F.size("abstract") > 0), picked).otherwise(F.slice("abstract", 1, 3))
+    known = F.when(F.col("_i.label").isin("SUPPORT", "CONTRADICT"), F.col("_i.label")).otherwise("")
+    found = proof.select("id", F.coalesce(F.nullif(text(chosen), F.lit("")), F.lit("No evidence.")).alias("premise"), F.col("claim").alias("hypothesis"), known.alias("label"))
+    bare = rows.where("_e is null").select("id", "claim", F.posexplode_outer("cited_doc_ids").alias("_no", "_doc")).join(c.where(F.size("abstract") > 0), "_doc", "left")
+    one = bare.groupBy("id").agg(F.first("claim").alias("hypothesis"), F.min_by("abstract", F.when(F.col("abstract").isNotNull(), F.col("_no"))).alias("_a"))
+    none = one.select("id", F.coalesce(text(F.slice("_a", 1, 3)), F.lit("No evidence.")).alias("premise"), "hypothesis", F.lit("").alias("label"))
+    return found.unionByName(none)
