@@ -245,3 +245,44 @@ def reliability_bins(spark, d):
 @query(f"WITH {_BINS_SQL} SELECT round(sum(n * abs(accuracy - avg_confidence)) / sum(n), 9) AS ece, CAST(sum(n) AS BIGINT) AS n_classified FROM binned")
 def calibration_error(spark, d):
     return M.calibration_error(M.reliability_bins(I.results(spark, d))).select(F.round("ece", 9).alias("ece"), "n_classified")
+
+
+# What stands before and behind a run.
+
+
+@query("""
+SELECT c_custkey, CASE c_custkey % 5 WHEN 0 THEN 'pdf' WHEN 1 THEN 'docx' WHEN 2 THEN 'docx' END AS file_type, CASE WHEN c_custkey % 5 < 3 THEN NULL WHEN c_custkey % 5 = 3 THEN 'File type is not supported. Only PDF and DOCX files are accepted.' ELSE 'No file attached. Please select a PDF or DOCX file.' END AS error,
+  bool_and(c_custkey % 5 < 3) OVER (PARTITION BY c_custkey // 7) AS accepted FROM customer""")
+def file_checks(spark, d):
+    """Files by their first bytes; one bad file rejects its packet."""
+    from attestor.operators import ingest
+
+    heads = F.element_at(F.array(*(F.lit(x).cast("binary") for x in ("%PDF-1.4 text", "PK\x03\x04 [Content_Types].xml", "PK\x03\x04 word/document.xml", "PK\x03\x04 other", ""))), (F.col("c_custkey") % 5 + 1).cast("int"))
+    files = table(spark, d, "customer").select("c_custkey", F.floor(F.col("c_custkey") / 7).alias("packet_id"), heads.alias("content"))
+    return ingest.check_files(files).select("c_custkey", "file_type", "error", "accepted")
+
+
+@query("""
+WITH told AS (SELECT p_partkey, CASE WHEN length(trim(p_name)) > 5 THEN trim(p_name) END AS title, p_brand || ', Ann Lee;' || p_type AS author, CASE WHEN p_partkey % 3 = 0 THEN 'D:2004' || CAST(p_size AS VARCHAR) ELSE '' END AS date, 'Printed ' || CAST(1985 + p_size AS VARCHAR) || ' or so' AS page FROM part),
+cut AS (SELECT *, list_filter(list_transform(string_split(regexp_replace(author, '([a-z]),\\s*([A-Z])', '\\1;\\2', 'g'), ';'), lambda a: trim(a)), lambda a: a <> '') AS authors FROM told)
+SELECT p_partkey, title, array_to_string(authors, '|') AS authors, CASE WHEN regexp_matches(date, '(19|20)\\d{2}') THEN regexp_extract(date, '(19|20)\\d{2}') ELSE regexp_extract(page, '(19|20)\\d{2}') END AS year FROM cut""")
+def paper_metadata(spark, d):
+    from attestor.operators import ingest
+
+    author = F.concat("p_brand", F.lit(", Ann Lee;"), "p_type")
+    date = F.when(F.col("p_partkey") % 3 == 0, F.concat(F.lit("D:2004"), F.col("p_size").cast("string"))).otherwise("")
+    page = F.concat(F.lit("Printed "), (F.col("p_size") + 1985).cast("string"), F.lit(" or so"))
+    m = ingest.paper_metadata(F.col("p_name"), author, date, page)
+    return table(spark, d, "part").select("p_partkey", m["title"].alias("title"), F.array_join(m["authors"], "|").alias("authors"), m["year"].alias("year"))
+
+
+@query(f"WITH {I.TRIPLES} SELECT claim_id, span_id FROM (SELECT *, row_number() OVER (PARTITION BY claim_id ORDER BY span_id) AS r FROM triples) WHERE r <= 3")
+def explanation_evidence(spark, d):
+    """The three first spans of each claim."""
+    return V.top_evidence(I.triples(spark, d).withColumn("retrieval_rank", F.col("span_id"))).select("claim_id", "span_id")
+
+
+@query(f"WITH {I.TRIPLES} SELECT t.claim_id, t.span_id, p.p_name AS source_filename FROM triples t LEFT JOIN part p ON p.p_partkey = t.source_document_id")
+def source_filenames(spark, d):
+    docs = table(spark, d, "part").select(F.col("p_partkey").alias("doc_id"), F.col("p_name").alias("filename"))
+    return V.add_source_names(I.triples(spark, d), docs).select("claim_id", "span_id", "source_filename")
