@@ -184,16 +184,16 @@ def _gathered(table: pa.Table) -> tuple[list[dict], list[np.ndarray], np.ndarray
 
 
 def _add_up(table: pa.Table) -> pa.Table:
-    """One partition's totals, and a reply to each batch that asked: totals in
-    its order, negative where the batch owns the key."""
+    """One partition's totals, and a reply to each batch that asked: twice the
+    totals in its order, and one more where the batch owns the key."""
     rows, each, keys, place = _gathered(table)
     counts = np.concatenate([_unpack(r["counts"], np.int64) for r in rows])
     totals = np.bincount(place, counts, len(keys)).astype(np.int64)
     counted = np.flatnonzero(counts)
     owned, at = np.unique(place[counted], return_index=True)
-    signs = np.ones(len(place), np.int64)
-    signs[counted[at]] = -1
-    replies = np.split(totals[place] * signs, np.cumsum([len(k) for k in each])[:-1])
+    told = 2 * totals[place]
+    told[counted[at]] += 1
+    replies = np.split(told, np.cumsum([len(k) for k in each])[:-1])
     seen = np.bincount(totals[totals <= MAX_K + 1], minlength=MAX_K + 2)[1:]
     part, known = rows[0]["part"], totals > 0
     out = [{"kind": "model", "part": part, "keys": _pack_keys(keys[known]), "totals": _pack(totals[known]), "types": int(known.sum()), "tokens": int(totals.sum()), "seen": seen.tolist()}]
@@ -259,13 +259,13 @@ def _score_batch(uni: Stats, bi: Stats, parts: int):
         b = _Batch(left.to_pylist()[0])
         replies = {kind: np.concatenate([_unpack(r["totals"], np.int64) for r in sorted((r for r in right.to_pylist() if r["of"] == kind), key=lambda r: r["part"])]) for kind in ("unigram", "bigram")}
         words, docs = len(b.words), len(b.ids)
-        total = np.abs(replies["unigram"])
+        total = replies["unigram"] >> 1
         p = uni.probability(total)
         keys, _, first, place = b.bigrams()
-        found = np.abs(replies["bigram"])
+        found = replies["bigram"] >> 1
         kept = bi.discount(found)
         h, w = b.h[first], b.w[first]
-        own = replies["bigram"] < 0
+        own = replies["bigram"] & 1 == 1
         after, rest = np.bincount(h[own], kept[own], words), np.bincount(h[own], p[w[own]], words)
         small = np.bincount(h[own & (found <= bi.k)], minlength=words)
         with np.errstate(divide="ignore"):
