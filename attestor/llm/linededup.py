@@ -14,9 +14,17 @@ at a single place belongs to no repeated run: joining fingerprint positions
 leaves the places that can. From each repeated fingerprint the match is
 extended to both sides over the windows that elected it, compared by a 128-bit
 hash of all their lines; those found earlier elsewhere are deleted, and
-overlapping ones join into runs. So exactly the lines of repeated runs go, and
-what is grouped is one row a line at most, with counts and minima only:
-a passage in very many texts is never paired with itself.
+overlapping ones join into runs. What is grouped is two rows a line at most,
+with counts and minima only: a passage in very many texts is never paired with
+itself.
+
+Windows from each line miss the end of a run, from which fewer than MIN_WORDS
+words remain. With whole_runs, as in op1 and the pipeline, the fewest lines
+with MIN_WORDS words that end at each line are windows as well. If a run with
+so many words is repeated, each of its lines is in a repeated window inside the
+run: the one from it, the one that ends at it or, if it has too few words on
+both sides, the one from the run's first line. So exactly the lines of repeated
+runs go, blank ones at their ends included. Without it, ends of runs stay.
 """
 
 from __future__ import annotations
@@ -34,9 +42,10 @@ MIN_WORDS = 50
 GRAM_WORDS = 25
 
 
-def windows(text: str, min_words: int = MIN_WORDS, gram_words: int = GRAM_WORDS) -> list[tuple[int, int, int, int, bytes]]:
+def windows(text: str, min_words: int = MIN_WORDS, gram_words: int = GRAM_WORDS, whole_runs: bool = False) -> list[tuple[int, int, int, int, bytes]]:
     """(first line, line after the last, fingerprint, its line, hash of the
-    whole window) of each window of one text."""
+    whole window) of each window of one text; with whole_runs of those that
+    end at a line too, and of both with blank lines before or after."""
     lines = text.split("\n")
     counts = np.fromiter((len(x.split()) for x in lines), np.int64, len(lines))
     before = np.concatenate(([0], np.cumsum(counts)))
@@ -49,11 +58,30 @@ def windows(text: str, min_words: int = MIN_WORDS, gram_words: int = GRAM_WORDS)
     gram_end, end = (np.searchsorted(before, before[:-1] + n) for n in (gram_words, min_words))
     starts = at[(counts > 0) & (gram_end <= len(lines))]
     grams = {int(i): xxh64_intdigest(data[8 * i : 8 * gram_end[i]]) for i in starts}
-    out = []
-    for i in at[(counts > 0) & (end <= len(lines))].tolist():
-        stop = int(end[i])
+
+    def window(i: int, stop: int) -> tuple[int, int, int, int, bytes]:
         elected, place = min((grams[j], -j) for j in range(i, stop) if j in grams and gram_end[j] <= stop)
-        out.append((i, stop, elected - (1 << 64) * (elected >> 63), -place, xxh3_128_digest(data[8 * i : 8 * stop])))
+        return i, stop, elected - (1 << 64) * (elected >> 63), -place, xxh3_128_digest(data[8 * i : 8 * stop])
+
+    out = [window(i, int(end[i])) for i in at[(counts > 0) & (end <= len(lines))].tolist()]
+    if not whole_runs:
+        return out
+    known = {w[:2]: w for w in out}
+    # first line of the shortest span up to each line with so many words
+    start = np.searchsorted(before, before[1:] - min_words, side="right") - 1
+    ends = [(int(start[j]), j + 1) for j in at[(counts > 0) & (before[1:] >= min_words)].tolist()]
+    ending = [known.get(span) or window(*span) for span in ends]
+    blank = np.flatnonzero(counts == 0).tolist()
+    firsts, stops = {w[0]: w for w in out}, {w[1]: w for w in ending}
+    out += [w for w in ending if w[:2] not in known]
+    # A blank line takes the window next to it, known by their distance.
+    follows = np.searchsorted(before, before[:-1], side="right") - 1  # the next line with words
+    precedes = np.searchsorted(before, before[:-1])  # the line after the last one with words
+    for i in blank:
+        if w := firsts.get(int(follows[i])):
+            out.append((i, *w[1:4], xxh3_128_digest(b"<%d " % (w[0] - i) + w[4])))
+        if w := stops.get(int(precedes[i])):
+            out.append((w[0], i + 1, *w[2:4], xxh3_128_digest(b">%d " % (i + 1 - w[1]) + w[4])))
     return out
 
 
@@ -61,19 +89,19 @@ _WINDOWS = "doc_id long, th long, first int, stop int, fp long, place int, key b
 _KINDS = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.binary()]
 
 
-def _windows(min_words: int, gram_words: int):
+def _windows(min_words: int, gram_words: int, whole_runs: bool):
     def rows(batches):
         for batch in batches:
             out: list[tuple] = []
             for doc, th, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "th", "text")), strict=True):
-                out.extend((doc, th, *w) for w in windows(text, min_words, gram_words))
+                out.extend((doc, th, *w) for w in windows(text, min_words, gram_words, whole_runs))
             columns = list(zip(*out, strict=True)) or [()] * len(_KINDS)
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, _KINDS, strict=True)], ["doc_id", "th", "first", "stop", "fp", "place", "key"])
 
     return rows
 
 
-def repeated(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+def repeated(docs: DataFrame, min_words: int = MIN_WORDS, whole_runs: bool = False) -> DataFrame:
     """(doc_id, th, spans) of the texts with lines to delete; th is xxhash64
     of the text, spans an array of (first line, line after the last)."""
     spark = docs.sparkSession
@@ -81,14 +109,14 @@ def repeated(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     ws = Workspace(spark, "linededup")
     text = F.col("text").cast("string")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("th"), text.alias("text")).where("text is not null")
-    found = ws.write(rows.mapInArrow(_windows(min_words, min(GRAM_WORDS, min_words)), _WINDOWS), "windows")
+    found = ws.write(rows.mapInArrow(_windows(min_words, min(GRAM_WORDS, min_words), whole_runs), _WINDOWS), "windows")
     # Rows that are equal in doc_id and text are one document.
     places = found.select("fp", "doc_id", "th", "place").distinct().groupBy("fp").agg(F.count("*").alias("n")).where("n > 1").select("fp")
     matched = found.join(places, "fp", "left_semi").select("key", F.col("doc_id").isNull().alias("last"), "doc_id", "th", "first", "stop").distinct()
     order = F.struct("last", "doc_id", "th", "first")
     earliest = matched.groupBy("key").agg(F.min(order).alias("earliest"), F.count("*").alias("n")).where("n > 1").select("key", "earliest")
     later = matched.join(earliest, "key").where(order != F.col("earliest"))
-    spans = later.groupBy("doc_id", "th").agg(F.collect_list(F.struct("first", "stop")).alias("spans"))  # no more than the text has lines
+    spans = later.groupBy("doc_id", "th").agg(F.collect_list(F.struct("first", "stop")).alias("spans"))  # no more than twice the text's lines
     return ws.write(spans, "spans")
 
 
@@ -118,21 +146,22 @@ def _rewrite(text: pd.Series, spans: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["text", "n_lines", "n_deleted", "deleted"])
 
 
-def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, whole_runs: bool = False) -> DataFrame:
     """Every row of docs as (row, text, n_lines, n_deleted, deleted): row is a
     struct of the columns as given, text the text without later repeated
-    runs, deleted the runs of lines that went.
+    runs, deleted the runs of lines that went. With whole_runs a run goes up to
+    its last line, else only as far as windows from its lines reach.
 
     A text of which every line went is empty; a null text stays null, has no
     lines and takes no part. Rows equal in doc_id and text are treated alike.
     """
     text = F.col("row.text").cast("string")
     keyed = docs.select(F.struct("*").alias("row")).select("row", F.col("row.doc_id").cast("long").alias("_doc"), F.xxhash64(text).alias("_th"))
-    spans = repeated(docs, min_words).select(F.col("doc_id").alias("_d"), F.col("th").alias("_t"), "spans")
+    spans = repeated(docs, min_words, whole_runs).select(F.col("doc_id").alias("_d"), F.col("th").alias("_t"), "spans")
     # A merge join at every size: many spans would not fit a broadcast.
     both = keyed.join(spans.hint("merge"), F.col("_doc").eqNullSafe(F.col("_d")) & (F.col("_th") == F.col("_t")), "left")
     return both.select("row", F.pandas_udf(_rewrite, _NEW)(text, F.col("spans")).alias("new")).select("row", "new.*")
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup_lines(read_table(spark, sf_dir, "documents")).select("row.doc_id", "text", "n_lines", "n_deleted", "deleted")
+    return dedup_lines(read_table(spark, sf_dir, "documents"), whole_runs=True).select("row.doc_id", "text", "n_lines", "n_deleted", "deleted")

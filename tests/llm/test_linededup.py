@@ -52,3 +52,42 @@ def test_odd_rows(odd, none):
     assert by[2, None].text is None and by[2, None].n_lines == 0
     assert by[3, ""].text == "" and by[9, "a\n" * 300].n_lines == 301
     assert L.dedup_lines(none).count() == 0
+
+
+def brute_runs(rows, least=L.MIN_WORDS):
+    """Lines of maximal equal runs with so many words, all pairs of places."""
+    places, gone = [], {}
+    for doc, text in sorted(rows):
+        lines = [x.strip() for x in text.split("\n")]
+        gone[doc] = [False] * len(lines)
+        for b, (other, before) in enumerate([*places, (doc, lines)]):
+            own = b == len(places)
+            for i in range(len(lines)):
+                for k in range(i if own else len(before)):
+                    if i and k and lines[i - 1] == before[k - 1]:
+                        continue  # not where the run begins
+                    n = 0
+                    while i + n < len(lines) and k + n < len(before) and lines[i + n] == before[k + n]:
+                        n += 1
+                    if sum(len(x.split()) for x in lines[i : i + n]) >= least:
+                        gone[doc][i : i + n] = [True] * n
+        places.append((doc, lines))
+    return {doc: "\n".join(x for x, g in zip(text.split("\n"), gone[doc], strict=True) if not g) for doc, text in rows}
+
+
+def test_whole_runs_match_brute_force_over_maximal_runs(spark, make):
+    r = random.Random(5)
+    pool = ["", " "] + [" ".join(r.choice("abcdef") for _ in range(r.choice((0, 1, 3, 8, 20, 60)))) for _ in range(12)]
+    chunks = [[r.choice(pool) for _ in range(r.randrange(1, 9))] for _ in range(12)]
+    rows = [(i, "\n".join(x for _ in range(r.randrange(5)) for x in [*r.choice(chunks), r.choice(pool)])) for i in range(60)]
+    docs = make([(i, t, "en") for i, t in rows])
+    got = {x.row.doc_id: x.text for x in L.dedup_lines(docs, whole_runs=True).collect()}
+    assert got == brute_runs(rows) != {x.row.doc_id: x.text for x in L.dedup_lines(docs).collect()}
+
+
+def test_op1_deletes_runs_up_to_their_last_line(spark, make, tmp_path):
+    words = lambda k, n: " ".join(f"{k}{i}" for i in range(n))
+    copy = f"{words('a', 60)}\n{words('b', 30)}"
+    make([(1, copy, "en"), (2, f"own\n{copy}\nlast", "en"), (3, copy, "en")]).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {x.doc_id: x for x in L.op1_line_dedup(spark, str(tmp_path)).collect()}
+    assert got[1].text == copy and got[2].text == "own\nlast" and got[3].text == "" and got[3].n_deleted == 2
