@@ -16,13 +16,23 @@ same components from a linear number of rows.
 
 Copies are collapsed first: everything after the fingerprints works on
 distinct values with their smallest doc_id.
+
+RADIUS and SHINGLE are those of op2. Two bits find little but exact copies, and
+no index of 64-bit fingerprints covers the ten or so bits by which texts differ
+that share four fifths of their shingles. Where a similarity is asked for, as
+by the pipeline, distinct sets of shingles take the place of fingerprints:
+candidates are sets that agree in all of ROWS minima of one of BANDS groups
+(MinHash), and they link if their exact Jaccard similarity is high enough. A
+pair of similarity 0.8 is a candidate with probability 1 - (1 - 0.8^5)^20 =
+0.9996, in a group of more than BUCKET + 1 sets only with the BUCKET next ones
+in the order of the next group's minima.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
@@ -32,7 +42,10 @@ RADIUS = 2
 SHINGLE = 3
 #: Distinct fingerprints of one segment value up to which candidates are paired.
 BUCKET = 64
+BANDS, ROWS = 20, 5
 _CHUNK = 1 << 16
+_FACTORS, _MASKS = (np.random.default_rng(k).integers(0, 1 << 64, (BANDS * ROWS, 1), np.uint64) for k in (1, 2))
+_FACTORS |= np.uint64(1)
 
 
 def fingerprint(text: str | None) -> int:
@@ -67,6 +80,88 @@ def with_fingerprints(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("th"), text.alias("text")).mapInArrow(_fingerprints, "doc_id long, th long, fp long")
 
 
+def shingles(text: str | None, size: int) -> np.ndarray:
+    """The sorted distinct hashes of one text's shingles of so many words, or
+    of all its words if it has fewer; none for null or no word."""
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    if len(words) <= size:
+        return np.array([xxh64_intdigest(b" ".join(words), 42)] if words else [], np.uint64)
+    return np.unique(np.fromiter((xxh64_intdigest(b" ".join(s), 42) for s in zip(*(words[i:] for i in range(size)), strict=False)), np.uint64))
+
+
+def bands(found: np.ndarray) -> np.ndarray:
+    """A hash of each group of minima of a set of shingles; none of no set."""
+    if not len(found):
+        return np.zeros(0, np.int64)
+    least = np.full(BANDS * ROWS, ~np.uint64(0))
+    for at in range(0, len(found), 1 << 12):
+        np.minimum(least, ((found[at : at + (1 << 12)] ^ _MASKS) * _FACTORS).min(axis=1), out=least)
+    data = least.tobytes()
+    return np.fromiter((xxh64_intdigest(data[i : i + 8 * ROWS]) for i in range(0, len(data), 8 * ROWS)), np.uint64, BANDS).view(np.int64)
+
+
+def _identity(found: np.ndarray) -> int:
+    """A signed hash of a set of shingles; 0 for the empty one."""
+    fp = xxh64_intdigest(found.tobytes()) if len(found) else 0
+    return fp - (1 << 64) * (fp >> 63)
+
+
+def _set_rows(size: int):
+    def rows(batches):
+        for batch in batches:
+            out = []
+            for doc, th, text in zip(*(batch.column(c) for c in ("doc_id", "th", "text")), strict=True):
+                found = shingles(text.as_py(), size)
+                out.append((doc.as_py(), th.as_py(), _identity(found), len(found), bands(found)))
+            columns = list(zip(*out, strict=True)) or [()] * 5
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["doc_id", "th", "fp", "n", "bands"])
+
+    return rows
+
+
+def _packed(size: int):
+    def rows(batches):
+        for batch in batches:
+            found = [shingles(x.as_py(), size) for x in batch.column("text")]
+            yield pa.RecordBatch.from_arrays([batch.column("fp"), pa.array([x.tobytes() for x in found], pa.binary())], ["fp", "shingles"])
+
+    return rows
+
+
+def _alike(similarity: float):
+    def rows(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part, keep = batch.slice(at, 256), []
+                for x, y in zip(part.column("x"), part.column("y"), strict=True):
+                    a, b = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
+                    both = len(np.intersect1d(a, b, assume_unique=True))
+                    keep.append(both / (len(a) + len(b) - both) >= similarity)
+                yield part.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return rows
+
+
+def similar(ws: Workspace, docs: DataFrame, sets: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """Edges (a, b) between distinct sets of shingles (rows of sets: fp, a
+    text's hash th, size n, bands) of so high a Jaccard similarity."""
+    keys = sets.select("fp", "n", "bands", F.posexplode("bands").alias("band", "val"))
+    keys = keys.select("band", "val", F.struct("fp", "n").alias("one"), F.element_at("bands", F.pmod(F.col("band") + 1, F.lit(BANDS)) + 1).alias("next"))
+    following = Window.partitionBy("band", "val").orderBy("next", "one.fp").rowsBetween(1, BUCKET)
+    pairs = keys.select("one", F.collect_list("one").over(following).alias("others")).select("one", F.explode("others").alias("other"))
+    n, m = F.col("one.n"), F.col("other.n")
+    pairs = pairs.where(F.least(n, m) / F.greatest(n, m) >= similarity)  # or the sets can't be similar enough
+    pairs = ws.write(pairs.select(F.least("one.fp", "other.fp").alias("a"), F.greatest("one.fp", "other.fp").alias("b")).distinct(), "candidates")
+    nodes = pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
+    wanted = sets.join(nodes, "fp", "left_semi").select("fp", "th")
+    text = docs.select(F.col("text").cast("string").alias("text")).withColumn("th", F.xxhash64("text"))
+    texts = text.join(wanted, "th").select("fp", "text").mapInArrow(_packed(shingle), "fp long, shingles binary")
+    packed = ws.write(texts.dropDuplicates(["fp"]), "shingles")
+    both = pairs.join(packed.select(F.col("fp").alias("a"), F.col("shingles").alias("x")), "a").join(packed.select(F.col("fp").alias("b"), F.col("shingles").alias("y")), "b")
+    return both.mapInArrow(_alike(similarity), "a long, b long")
+
+
 def _high(fp: Column) -> Column:
     return F.shiftrightunsigned(fp, 32)
 
@@ -99,12 +194,27 @@ def links(ws: Workspace, prints: DataFrame) -> DataFrame:
     return pairs.unionByName(chained)
 
 
-def components(docs: DataFrame) -> DataFrame:
-    """(doc_id, th, fp, component, component_id) for every row of docs."""
+def components(docs: DataFrame, shingle: int = SHINGLE, similarity: float | None = None) -> DataFrame:
+    """(doc_id, th, fp, component, component_id) for every row of docs. With a
+    similarity, texts link if the Jaccard similarity of their shingles is that
+    high, and fp is a hash of the set of shingles."""
     ws = Workspace(docs.sparkSession, "simhash")
-    all_docs = ws.write(with_fingerprints(docs), "fingerprints")
-    classes = ws.write(all_docs.groupBy("fp").agg(F.min("doc_id").alias("rep")), "classes")
-    comps = connected_components(ws, links(ws, classes.select("fp")))
+    if similarity is None:
+        if shingle != SHINGLE:
+            raise ValueError(f"fingerprints are over {SHINGLE} words")
+        all_docs = ws.write(with_fingerprints(docs), "fingerprints")
+        classes = ws.write(all_docs.groupBy("fp").agg(F.min("doc_id").alias("rep")), "classes")
+        edges = links(ws, classes.select("fp"))
+    else:
+        ship_code(docs.sparkSession)
+        text = F.col("text").cast("string")
+        rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("th"), text.alias("text"))
+        all_docs = ws.write(rows.mapInArrow(_set_rows(shingle), "doc_id long, th long, fp long, n long, bands array<long>"), "sets")
+        one = F.min_by(F.struct("th", "n", "bands"), "th").alias("one")
+        classes = ws.write(all_docs.groupBy("fp").agg(F.min("doc_id").alias("rep"), one).select("fp", "rep", "one.*"), "classes")
+        edges = similar(ws, docs, classes, shingle, similarity)
+        all_docs = all_docs.select("doc_id", "th", "fp")
+    comps = connected_components(ws, edges)
     placed = classes.join(comps, classes.fp == comps.node, "left").select("fp", "rep", F.coalesce("component", "fp").alias("component"))
     placed = ws.write(placed, "placed")
     least = placed.groupBy("component").agg(F.min("rep").alias("component_id"))
@@ -123,12 +233,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return components(docs).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
+def keep_one(docs: DataFrame, shingle: int = SHINGLE, similarity: float | None = None) -> DataFrame:
     """One row of docs for each component: that with the smallest doc_id (null
     last), of equals that whose text has the smallest hash."""
     key = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "th")
     ws = Workspace(docs.sparkSession, "simhash-keep")
-    found = components(docs).groupBy("component", key.alias("key")).agg(F.count("*").alias("n")).groupBy("component").agg(F.min_by(F.struct("key", "n"), "key").alias("kept"))
+    found = components(docs, shingle, similarity).groupBy("component", key.alias("key")).agg(F.count("*").alias("n")).groupBy("component").agg(F.min_by(F.struct("key", "n"), "key").alias("kept"))
     keep = ws.write(found.select(F.col("kept.key.doc_id").alias("_doc"), F.col("kept.key.th").alias("_th"), F.col("kept.n").alias("n")), "kept")
     doc, th = F.col("doc_id").cast("long"), F.xxhash64(F.col("text").cast("string"))
     rows = docs.join(keep, doc.eqNullSafe(F.col("_doc")) & (th == F.col("_th")), "left_semi")

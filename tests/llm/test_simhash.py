@@ -1,6 +1,7 @@
 import random
 import re
 
+import corpus_pipeline
 import numpy as np
 from xxhash import xxh64_intdigest
 
@@ -85,3 +86,35 @@ def test_chain_of_components(spark):
     edges = [(i, i + 1) for i in range(60)] + [(100, 101), (101, 100), (7, 7)]
     got = {r.node: r.component for r in connected_components(ws, spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {**{i: 0 for i in range(61)}, 100: 100, 101: 100}
+
+
+def test_stage_keeps_one_of_texts_with_similar_shingles(spark, make):
+    r = random.Random(6)
+    texts = []
+    for _ in range(12):
+        words = [r.choice("abcdefghij") * r.randrange(1, 9) for _ in range(r.choice((12, 80, 300)))]
+        for _ in range(8):
+            texts.append(" ".join(words))
+            for _ in range(r.randrange(1, 4)):
+                words[r.randrange(len(words))] = f"x{r.randrange(99)}"
+    docs = [(i, t, "en") for i, t in enumerate(texts)]
+
+    def grams(text):
+        words = text.split()
+        return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))}
+
+    sets, parent = [grams(t) for t in texts], list(range(len(texts)))
+    for j in range(len(texts)):
+        for i in range(j):
+            if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]) and parent[i] != parent[j]:
+                old, new = max(parent[i], parent[j]), min(parent[i], parent[j])
+                parent = [new if p == old else p for p in parent]
+    exp = {i for i, p in enumerate(parent) if i == p}
+    got = {x.doc_id for x in corpus_pipeline.dedup_documents(spark, make(docs), "").collect()}
+    assert got == exp and 12 < len(exp) < len(texts) and len({x.doc_id for x in S.keep_one(make(docs)).collect()}) > len(exp)
+
+
+def test_odd_rows_of_the_stage(spark, odd, none):
+    ids = [x.doc_id for x in corpus_pipeline.dedup_documents(spark, odd, "").collect()]
+    assert 2 in ids and 3 not in ids and 4 not in ids and 5 in ids and 6 not in ids and ids.count(1) == 2
+    assert corpus_pipeline.dedup_documents(spark, none, "").count() == 0
