@@ -1,10 +1,13 @@
 """HTML main-text extraction by nearest-URL page differencing.
 
 A page becomes lines: its blocks in page order, character references decoded,
-white space inside a block one space. Pages of one host are ordered by URL
-path, and each is paired with the neighbour in that order whose path shares
+white space inside a block one space. Pages of one host with equal lines are
+one page, that of the first path. Pages of a host are ordered by URL path, and
+each is paired with the neighbour in that order whose path shares
 the longer beginning. The lines of the two are aligned by longest common
-subsequence; shared lines are what the site repeats, and go.
+subsequence; shared lines are what the site repeats, and go, but for blocks of
+LONG_WORDS words or more that at most FEW_PAGES different pages of the host
+have: those are text that the site carries in several versions.
 
 Differencing alone fails both ways: an article that a site carries twice is
 shared though it is text, and notices drawn from a pool differ between
@@ -52,6 +55,7 @@ _NEVER_DROPPED = frozenset("html body article main".split())
 _NAME = re.compile(r"[A-Z]?[a-z0-9]+|[A-Z]+")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 PLAIN, MAIN, DROPPED = 0, 1, 2
+LONG_WORDS, FEW_PAGES = 20, 5
 
 
 def _attributes(raw: str) -> dict[str, str]:
@@ -208,18 +212,21 @@ def address(url: str | None) -> tuple[str, str]:
         return "", url or ""
 
 
-_HASHED = "page_id long, th long, host string, path string, lines array<long>"
+_HASHED = "page_id long, th long, host string, path string, seq long, lines array<long>, long array<long>"
 
 
 def _hashed(batches):
     for batch in batches:
         out = []
         for page, th, url, source in zip(*(batch.column(c) for c in ("page_id", "th", "url", "html")), strict=True):
-            lines = [xxh64_intdigest(t.encode("utf-8", "surrogatepass")) for t, _ in blocks(source.as_py())]
-            out.append((page.as_py(), th.as_py(), *address(url.as_py()), np.array(lines, np.uint64).view(np.int64)))
-        columns = list(zip(*out, strict=True)) or [()] * 5
-        kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.int64())]
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["page_id", "th", "host", "path", "lines"])
+            texts = [t for t, _ in blocks(source.as_py())]
+            lines = np.array([xxh64_intdigest(t.encode("utf-8", "surrogatepass")) for t in texts], np.uint64)
+            long = np.unique(lines[[len(t.split()) >= LONG_WORDS for t in texts]]) if texts else lines
+            seq = np.array([xxh64_intdigest(lines.tobytes())], np.uint64).view(np.int64)[0]
+            out.append((page.as_py(), th.as_py(), *address(url.as_py()), seq, lines.view(np.int64), long.view(np.int64)))
+        columns = list(zip(*out, strict=True)) or [()] * 7
+        kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())]
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["page_id", "th", "host", "path", "seq", "lines", "long"])
 
 
 def _common(a: str, b: str) -> int:
@@ -232,21 +239,26 @@ def _aligned(batches):
         for r in rows:
             near = [n for n in (r["before"], r["after"]) if n and n["host"] == r["host"]]
             pick = max(near, key=lambda n: _common(n["path"] or "", r["path"] or ""), default=None)  # the one before, of equals
-            gone.append(shared_lines(r["lines"], pick["lines"]) if pick else [])
-        yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("th"), pa.array(gone, pa.list_(pa.int32()))], ["page_id", "th", "gone"])
+            kept = set(r["kept"] or ())
+            gone.append([i for i in shared_lines(r["lines"], pick["lines"]) if r["lines"][i] not in kept] if pick else [])
+        yield pa.RecordBatch.from_arrays([batch.column("host"), batch.column("seq"), pa.array(gone, pa.list_(pa.int32()))], ["host", "seq", "gone"])
 
 
 def differences(pages: DataFrame) -> DataFrame:
     """(page_id, th, gone): the lines of each distinct page that its nearest
-    page shares; th is a hash of its url and html. A page alone on its host
-    shares none. Equal rows count once."""
+    different page shares, without long ones of few pages; th is a hash of its
+    url and html. A page alone on its host, but for copies, shares none."""
     spark = pages.sparkSession
     ws = Workspace(spark, "htmltext")
-    rows = pages.select("page_id", "th", "url", "html").mapInArrow(_hashed, _HASHED)
+    hashed = ws.write(pages.select("page_id", "th", "url", "html").mapInArrow(_hashed, _HASHED), "hashed")
     order = ["host", "path", "page_id", "th"]
-    # Equal rows next to each other collapse: what is equal is in one range.
-    ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("range", F.spark_partition_id())
-    ranged = ws.write(ranged.dropDuplicates(["page_id", "th", "host", "path", "range"]), "ranges")
+    first = F.min_by(F.struct("path", "page_id", "th", "lines", "long"), F.struct("path", "page_id", "th")).alias("page")
+    different = ws.write(hashed.groupBy("host", "seq").agg(first).select("host", "seq", "page.*"), "different")
+    ranged = ws.write(different.drop("long").repartitionByRange(*order).sortWithinPartitions(*order).withColumn("range", F.spark_partition_id()), "ranges")
+    # The long lines that few pages of a host have, for each page.
+    long = different.select("host", "seq", F.explode("long").alias("line")).withColumn("at", F.xxhash64("host", "line"))
+    few = long.groupBy("at").agg(F.count("*").alias("n")).where(F.col("n").between(2, FEW_PAGES)).select("at")
+    kept = long.join(few, "at", "left_semi").groupBy("host", "seq").agg(F.collect_set("line").alias("kept"))
     near = F.struct("host", "path", "lines")
     inside = Window.partitionBy("range").orderBy(*order)
     rows = ranged.withColumns({"before": F.lag(near).over(inside), "after": F.lead(near).over(inside)})
@@ -256,7 +268,13 @@ def differences(pages: DataFrame) -> DataFrame:
     along = Window.orderBy("range")
     borders = borders.select(F.col("range").alias("_range"), F.lag("last").over(along).alias("_before"), F.lead("first").over(along).alias("_after"))
     rows = rows.join(borders, F.col("range") == F.col("_range")).withColumns({"before": F.coalesce("before", "_before"), "after": F.coalesce("after", "_after")})
-    return ws.write(rows.select("page_id", "th", "host", "path", "lines", "before", "after").mapInArrow(_aligned, "page_id long, th long, gone array<int>"), "gone")
+    rows = rows.select("host", "seq", "path", "lines", "before", "after").join(kept, ["host", "seq"], "left")
+    gone = ws.write(rows.mapInArrow(_aligned, "host string, seq long, gone array<int>"), "gone")
+    # Rows equal in page_id and th are one page.
+    found = ws.write(hashed.select("page_id", "th", "host", "seq").distinct().join(gone, ["host", "seq"]).select("page_id", "th", "gone"), "pages")
+    for table in (hashed, different, ranged, gone):
+        ws.drop(table)
+    return found
 
 
 def main_text(page: str | None, gone: list[int] | np.ndarray | None) -> str:
@@ -282,7 +300,8 @@ def extract(pages: DataFrame) -> DataFrame:
     url, source = F.col("url").cast("string"), F.col("html").cast("string")
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), url.alias("url"), source.alias("html")).withColumn("th", F.xxhash64("url", "html"))
     gone = differences(rows).select(F.col("page_id").alias("_page"), F.col("th").alias("_th"), "gone")
-    both = rows.join(gone, F.col("page_id").eqNullSafe(F.col("_page")) & (F.col("th") == F.col("_th")), "left")
+    # A merge join at every size, as with many pages.
+    both = rows.join(gone.hint("merge"), F.col("page_id").eqNullSafe(F.col("_page")) & (F.col("th") == F.col("_th")), "left")
     return both.select("page_id", "url", F.pandas_udf(_texts, "string")("html", "gone").alias("text")).withColumn("n_chars", F.length("text").cast("long"))
 
 

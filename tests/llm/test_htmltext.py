@@ -63,3 +63,17 @@ def test_neighbours_do_not_depend_on_partitions(spark):
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", was)
     assert seen[0] == seen[1] == seen[2]
+
+
+def test_copies_and_versions_of_a_page_keep_their_text(spark):
+    body = " ".join(f"word{i}" for i in range(40))
+    page = lambda text, more="": f"<body><div>Welcome</div><p>{text}</p>{more}<div>Imprint</div></body>"
+    rows = [(1, "http://h.example/a/1", page(body)), (2, "http://h.example/a/1", page(body)), (3, "http://h.example/a/1?print", page(body))]
+    rows += [(4, "http://h.example/a/2", page(body, "<p>changed</p>")), (5, "http://h.example/z", page("Another"))]
+    rows += [(6, "http://copies.example/", page("Alone")), (7, "http://copies.example/", page("Alone"))]
+    notice = " ".join(f"legal{i}" for i in range(40))
+    rows += [(10 + i, f"http://many.example/{i}", page(f"Text {i}", f"<p>{notice}</p>")) for i in range(8)]
+    got = {r.page_id: r.text for r in H.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[1] == got[2] == got[3] == body and got[4] == f"{body}\nchanged" and got[5] == "Another"
+    assert got[6] == got[7] == "Welcome\nAlone\nImprint"
+    assert all(got[10 + i] == f"Text {i}" for i in range(8))
