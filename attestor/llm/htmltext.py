@@ -15,7 +15,10 @@ neighbours though they are not. Two checks on the markup follow. Lines inside
 an element that a page marks as its article or main part stay even if shared,
 and where a page has such an element, lines outside it go. Lines inside
 elements that are menus, headers, footers, sidebars, notices, adverts, forms
-or reader comments by tag, role, class or id go wherever they are.
+or reader comments by tag, role, class or id go wherever they are. A class or
+id tells by its whole name or the beginning of it. An element that goes by
+class, id or role, or is a form, may be the page's layout: a main part in it
+stays, and an article if the page has no other and no more text outside it.
 
 What is ordered, exchanged and aligned is one row a page with 64-bit hashes of
 its lines. Neighbours are found in ranges of the order with the borders of
@@ -54,7 +57,7 @@ _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
 _NEVER_DROPPED = frozenset("html body article main".split())
 _NAME = re.compile(r"[A-Z]?[a-z0-9]+|[A-Z]+")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
-PLAIN, MAIN, DROPPED = 0, 1, 2
+PLAIN, MAIN, DROPPED, LAYOUT, RESCUED = 0, 1, 2, 3, 4
 LONG_WORDS, FEW_PAGES = 20, 5
 
 
@@ -62,26 +65,30 @@ def _attributes(raw: str) -> dict[str, str]:
     return {m[1].lower(): htmllib.unescape(m[2] or m[3] or m[4] or "") for m in _ATTRIBUTE.finditer(raw)} if raw.strip(" /\t\n") else {}
 
 
+def _names(at: dict[str, str]) -> set[str]:
+    """Each name in class and id without its separators, and its first part."""
+    parts = [[x.lower() for x in _NAME.findall(name)] for c in ("class", "id") for name in at.get(c, "").split()]
+    return {x for p in parts if p for x in (p[0], "".join(p))}
+
+
 def _kind(tag: str, raw: str, inside_main: bool) -> tuple[int, bool]:
     """What an element's markup makes of it, and whether it is a page header
     (of which an article keeps the headings)."""
-    if tag in _DROPPED:
+    if tag in _DROPPED and tag != "form":
         return DROPPED, False
     at = _attributes(raw)
     if not at:
-        return (MAIN if tag in ("article", "main") else PLAIN), tag == "header"
+        return (MAIN if tag in ("article", "main") else LAYOUT if tag == "form" else PLAIN), tag == "header"
     role = at.get("role", "").lower()
     if "hidden" in at or at.get("aria-hidden", "").lower() == "true" or _HIDDEN.search(at.get("style", "")):
         return DROPPED, False
     if tag not in _NEVER_DROPPED:
-        if role in _ROLES:
-            return DROPPED, False
-        names = {x.lower() for c in ("class", "id") for x in _NAME.findall(at.get(c, ""))}
-        if names & _WORDS:
-            return DROPPED, False
+        names = _names(at)
+        if tag == "form" or role in _ROLES or names & _WORDS:
+            return LAYOUT, False
         if tag == "header" or "header" in names:
             return PLAIN, True
-    elif tag == "article" and {x.lower() for c in ("class", "id") for x in _NAME.findall(at.get(c, ""))} & {"comment", "comments", "reply"}:
+    elif tag == "article" and _names(at) & {"comment", "comments", "reply"}:
         return DROPPED, False
     main = tag in ("article", "main") or role in ("main", "article") or at.get("itemprop", "").lower() == "articlebody"
     return (MAIN if main else PLAIN), False
@@ -90,8 +97,8 @@ def _kind(tag: str, raw: str, inside_main: bool) -> tuple[int, bool]:
 def blocks(page: str | None) -> list[tuple[str, int]]:
     """The blocks with text of one page, each PLAIN, MAIN or DROPPED."""
     page, at, out, text = page or "", 0, [], []
-    # open elements: (tag, in main, dropped, in a page header)
-    stack: list[tuple[str, bool, bool, bool]] = [("", False, False, False)]
+    # open elements: (tag, in main, PLAIN or how it is dropped, in a page header)
+    stack: list[tuple[str, bool, int, bool]] = [("", False, PLAIN, False)]
     headings = 0
 
     def close() -> None:
@@ -100,7 +107,8 @@ def blocks(page: str | None) -> list[tuple[str, int]]:
             text.clear()
             if joined:
                 _, main, dropped, header = stack[-1]
-                out.append((joined, DROPPED if dropped or header and not (main and headings) else MAIN if main else PLAIN))
+                gone = dropped in (DROPPED, LAYOUT) or header and not (main and headings)
+                out.append((joined, DROPPED if gone else dropped or (MAIN if main else PLAIN)))
 
     def pop(n: int) -> None:
         nonlocal headings
@@ -158,12 +166,23 @@ def blocks(page: str | None) -> list[tuple[str, int]]:
                 pop(n)
         _, main, dropped, header = stack[-1]
         kind, heads = _kind(tag, raw, main)
-        if (kind == DROPPED) > dropped:
+        now = dropped
+        if DROPPED in (kind, dropped):
+            now = DROPPED
+        elif kind == LAYOUT:
+            now = LAYOUT
+        elif kind == MAIN and not main:
+            header = False
+            if dropped == LAYOUT:
+                now = PLAIN if tag == "main" or _attributes(raw).get("role", "").lower() == "main" else RESCUED
+        if now != dropped:
             close()
-        stack.append((tag, main or kind == MAIN, dropped or kind == DROPPED, header or heads))
+        stack.append((tag, main or kind == MAIN, now, header or heads))
         headings += tag in _HEADINGS
     close()
-    return out
+    size = {k: sum(len(t) for t, kind in out if kind == k) for k in (PLAIN, MAIN, RESCUED)}
+    rescued = MAIN if not size[MAIN] and size[RESCUED] >= size[PLAIN] else DROPPED
+    return [(t, rescued if kind == RESCUED else kind) for t, kind in out]
 
 
 def shared_lines(a: list, b: list) -> list[int]:

@@ -77,3 +77,22 @@ def test_copies_and_versions_of_a_page_keep_their_text(spark):
     assert got[1] == got[2] == got[3] == body and got[4] == f"{body}\nchanged" and got[5] == "Another"
     assert got[6] == got[7] == "Welcome\nAlone\nImprint"
     assert all(got[10 + i] == f"Text {i}" for i in range(8))
+
+
+def test_layout_elements_do_not_take_the_article_with_them():
+    for name in ("layout has-sidebar", "content-with-sidebar", "no-comments", "main-widget-area", "page-skip-nav", "has-header", "sidebar-layout", "widget", "header-image"):
+        for tag in ("main", "article"):
+            assert H.main_text(f"<body><div class='{name}'><{tag}><p>The text</p></{tag}></div><footer>f</footer></body>", None) == "The text"
+    for name in ("has-sidebar", "no-comments", "has-header"):
+        assert H.main_text(f"<div class='{name}'><p>The text</p></div>", None) == "The text"
+    assert H.main_text("<article class='post no-comments'>The text</article>", None) == "The text"
+    assert H.main_text("<form id=aspnetForm><input><main><p>The text</p></main><p>x</p></form>", None) == "The text"
+
+
+def test_what_is_marked_goes_still():
+    for name in ("sidebar", "cookie-notice", "shareLinks", "tag-cloud", "sign-in", "comments"):
+        assert H.main_text(f"<div class='{name}'>x</div><p>The text</p>", None) == "The text"
+    comments = "<section class=comments><article><p>A comment that is longer than the text</p></article></section>"
+    assert H.main_text(f"<article>The text{comments}</article>", None) == H.main_text(f"<article>The text</article>{comments}", None) == "The text"
+    assert H.main_text("<p>The text of the page</p><div class=related><article>Teaser</article></div>", None) == "The text of the page"
+    assert H.main_text("<div style='display:none'><main>x</main></div><p>The text</p>", None) == "The text"
