@@ -166,10 +166,11 @@ def _matches(index: Index, docs: list[str | None]) -> Iterator[tuple[int, int, i
     of each document and passage."""
     step = max(_PIECE, 4 * index.reach)
     group: list[tuple[int, int, str]] = []
-    best: dict[tuple[int, int], tuple] = {}
+    best: dict[tuple[int, int | None, str], tuple] = {}
 
-    def take(d: int, i, m: int, found: tuple) -> None:
-        best[d, i] = min(best.get((d, i), ((1 << 60,),)), (found, m))
+    def take(d: int, i, passage: str, m: int, found: tuple) -> None:
+        key = d, i, passage if i is None else ""  # passages without an id are told apart by their text
+        best[key] = min(best.get(key, ((1 << 60,),)), (found, m))
 
     def work() -> None:
         if not group:
@@ -182,7 +183,7 @@ def _matches(index: Index, docs: list[str | None]) -> Iterator[tuple[int, int, i
             d, offset, text = group[p]
             found = _locate(index, i, text, codes[p], low - index.longest - int(begins[p]))
             if found:
-                take(d, index.passages[i][0], int(index.m[i]), (found[0], found[1] + offset, found[2] + offset))
+                take(d, *index.passages[i], int(index.m[i]), (found[0], found[1] + offset, found[2] + offset))
         group.clear()
 
     held = 0
@@ -190,7 +191,7 @@ def _matches(index: Index, docs: list[str | None]) -> Iterator[tuple[int, int, i
         text = normal(raw)
         for i, t in index.short:
             if (at := text.find(t)) >= 0:
-                take(d, i, len(t), (0, at, at + len(t)))
+                take(d, i, t, len(t), (0, at, at + len(t)))
         for offset in range(0, max(1, len(text) - index.reach), step):
             part = text[offset : offset + step + index.reach]
             if len(part) < Q - 1:
@@ -201,12 +202,12 @@ def _matches(index: Index, docs: list[str | None]) -> Iterator[tuple[int, int, i
                 work()
                 held = 0
     work()
-    for (d, i), (found, m) in sorted(best.items(), key=lambda x: x[0][0]):
+    for (d, i, _), (found, m) in sorted(best.items(), key=lambda x: x[0][0]):
         yield d, i, m, *found
 
 
-def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
-    rows = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).where("item_id is not null and text is not null").dropDuplicates()
+def _blocks(benchmark: DataFrame, unnamed: bool) -> Iterator[list[tuple[int | None, str]]]:
+    rows = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).where("text is not null").where(F.lit(unnamed) | F.col("item_id").isNotNull()).dropDuplicates()
     block, held = [], 0
     for r in rows.toLocalIterator():
         text = normal(r["text"])
@@ -215,13 +216,13 @@ def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
             block, held = [], 0
         block.append((r["item_id"], text))
         held += len(text)
-    yield sorted(block)
+    yield sorted(block, key=lambda x: (x[0] is None, x[0] or 0, x[1]))
 
 
 _COLUMNS, _ROWS = ["doc_id", "item_id", "n_chars", "edits", "start", "end"], 2048
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, unnamed: bool = False) -> DataFrame:
     """One row for each document row and passage found in it.
 
     Columns: doc_id, item_id, n_chars (of the passage), edits, start and end
@@ -229,13 +230,15 @@ def contamination(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) ->
     single spaces): the best occurrence, leftmost of equals. Passages that are
     null or blank are never found; null texts count as empty. Passages of
     fewer than Q characters are found where they stand literally. Document
-    rows with equal or null doc_id are searched apart.
+    rows with equal or null doc_id are searched apart. With unnamed, as in op3
+    and the pipeline, passages without an item_id are looked for as well and
+    give a null item_id, each a row of its own; else they are left out.
     """
     spark = docs.sparkSession
     ship_code(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     out = None
-    for block in _blocks(benchmark):
+    for block in _blocks(benchmark, unnamed):
         shared = spark.sparkContext.broadcast(Index(block, rate))
 
         def search(batches, shared=shared):
@@ -252,12 +255,12 @@ def contamination(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) ->
     return out
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) -> DataFrame:
+def clean(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, unnamed: bool = False) -> DataFrame:
     """The rows of docs in which no passage is found, filtered in place."""
     spark, names = docs.sparkSession, docs.columns
     ship_code(spark)
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("row"))
-    for block in _blocks(benchmark):
+    for block in _blocks(benchmark, unnamed):
         shared = spark.sparkContext.broadcast(Index(block, rate))
 
         def keep(batches, shared=shared):
@@ -272,4 +275,4 @@ def clean(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) -> DataFram
 
 
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return contamination(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+    return contamination(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"), unnamed=True)

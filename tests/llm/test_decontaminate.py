@@ -1,5 +1,6 @@
 import random
 
+import corpus_pipeline
 from attestor.llm import decontaminate as D
 
 
@@ -68,3 +69,13 @@ def test_a_large_benchmark_takes_several_passes(spark, make, monkeypatch):
     best = {r.doc_id: r for r in D.contamination(docs, bench).orderBy("edits", ascending=False).collect()}
     assert set(best) == {1, 3} and best[1].edits == 0 and best[1].item_id == 3
     assert [r.doc_id for r in D.clean(docs, bench).collect()] == [2]
+
+
+def test_passages_without_an_id_are_found_by_the_queries(spark, make, tmp_path):
+    docs = make([(1, "see a passage without an id and another passage of that kind", "en"), (2, "clean", "en"), (3, "a short one: zq", "en")])
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    bench = [(None, "a passage without an id"), (None, "another passage of that kind"), (None, "zq"), (None, " "), (7, "clean of it, never found")]
+    spark.createDataFrame(bench, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    found = sorted((r.doc_id, r.item_id is None, r.n_chars) for r in D.op3_decontaminate(spark, str(tmp_path)).collect())
+    assert found == [(1, True, 23), (1, True, 28), (3, True, 2)]
+    assert [r.doc_id for r in corpus_pipeline.remove_benchmark(spark, docs, str(tmp_path)).collect()] == [2]
