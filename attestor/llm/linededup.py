@@ -1,9 +1,11 @@
 """Line deduplication by winnowing over line hashes.
 
 A run of whole lines with at least MIN_WORDS words that stands earlier in the
-corpus, in another text or the same, is deleted; the earliest stays. Earlier
-means a smaller doc_id (null last), then the smaller hash of the text, then
-the earlier line. Lines are equal if they are after trimming.
+corpus, in another text or before it in the same, is deleted; the earliest
+stays. Earlier means a smaller doc_id (null last), then the smaller hash of
+the text, then the earlier line. Lines are equal if they are after trimming. A
+run never counts as a copy of one that it overlaps: of a line repeated all
+over a text, the fewest lines with MIN_WORDS words stay.
 
 For each line that has words, the window from it is the fewest lines with
 MIN_WORDS words, and the grams in the window are the fewest lines from each of
@@ -11,20 +13,21 @@ its lines with GRAM_WORDS words. A window elects its least gram hash, the
 rightmost of equals, as fingerprint. Any repeated run of MIN_WORDS words holds
 whole windows, equal windows elect equal grams, so a fingerprint that occurs
 at a single place belongs to no repeated run: joining fingerprint positions
-leaves the places that can. From each repeated fingerprint the match is
-extended to both sides over the windows that elected it, compared by a 128-bit
-hash of all their lines; those found earlier elsewhere are deleted, and
-overlapping ones join into runs. What is grouped is two rows a line at most,
-with counts and minima only: a passage in very many texts is never paired with
-itself.
-
-Windows from each line miss the end of a run, from which fewer than MIN_WORDS
-words remain. With whole_runs, as in op1 and the pipeline, the fewest lines
-with MIN_WORDS words that end at each line are windows as well. If a run with
-so many words is repeated, each of its lines is in a repeated window inside the
-run: the one from it, the one that ends at it or, if it has too few words on
-both sides, the one from the run's first line. So exactly the lines of repeated
-runs go, blank ones at their ends included. Without it, ends of runs stay.
+leaves the places that can.
+
+From each repeated fingerprint the match is extended to both sides: to the
+windows that elected it, and from those line by line, to the windows that
+begin and that end at each further line, blank ones included, compared by a
+128-bit hash of all their lines. A run with so many words is covered by the
+windows inside it (each line of it has the one from it, the one that ends at
+it or, with too few words on both sides, the one from the run's first line),
+so exactly the lines of repeated runs go. Compared is always with the earliest
+place of the same window and not with a neighbour's place: extending only
+against a fingerprint's earliest place would lose runs that a later place
+shares. A passage in very many texts is never paired with itself: what is
+grouped is two rows a line at most, with counts and minima before any
+exchange, and both joins are by written tables, so that adaptive execution
+splits a key of very many places.
 """
 
 from __future__ import annotations
@@ -42,10 +45,10 @@ MIN_WORDS = 50
 GRAM_WORDS = 25
 
 
-def windows(text: str, min_words: int = MIN_WORDS, gram_words: int = GRAM_WORDS, whole_runs: bool = False) -> list[tuple[int, int, int, int, bytes]]:
+def windows(text: str, min_words: int = MIN_WORDS, gram_words: int = GRAM_WORDS) -> list[tuple[int, int, int, int, bytes]]:
     """(first line, line after the last, fingerprint, its line, hash of the
-    whole window) of each window of one text; with whole_runs of those that
-    end at a line too, and of both with blank lines before or after."""
+    whole window) of the windows from and up to each line of one text, and of
+    both with blank lines before or after."""
     lines = text.split("\n")
     counts = np.fromiter((len(x.split()) for x in lines), np.int64, len(lines))
     before = np.concatenate(([0], np.cumsum(counts)))
@@ -64,8 +67,6 @@ def windows(text: str, min_words: int = MIN_WORDS, gram_words: int = GRAM_WORDS,
         return i, stop, elected - (1 << 64) * (elected >> 63), -place, xxh3_128_digest(data[8 * i : 8 * stop])
 
     out = [window(i, int(end[i])) for i in at[(counts > 0) & (end <= len(lines))].tolist()]
-    if not whole_runs:
-        return out
     known = {w[:2]: w for w in out}
     # first line of the shortest span up to each line with so many words
     start = np.searchsorted(before, before[1:] - min_words, side="right") - 1
@@ -89,19 +90,19 @@ _WINDOWS = "doc_id long, th long, first int, stop int, fp long, place int, key b
 _KINDS = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.binary()]
 
 
-def _windows(min_words: int, gram_words: int, whole_runs: bool):
+def _windows(min_words: int, gram_words: int):
     def rows(batches):
         for batch in batches:
             out: list[tuple] = []
             for doc, th, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "th", "text")), strict=True):
-                out.extend((doc, th, *w) for w in windows(text, min_words, gram_words, whole_runs))
+                out.extend((doc, th, *w) for w in windows(text, min_words, gram_words))
             columns = list(zip(*out, strict=True)) or [()] * len(_KINDS)
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, _KINDS, strict=True)], ["doc_id", "th", "first", "stop", "fp", "place", "key"])
 
     return rows
 
 
-def repeated(docs: DataFrame, min_words: int = MIN_WORDS, whole_runs: bool = False) -> DataFrame:
+def repeated(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """(doc_id, th, spans) of the texts with lines to delete; th is xxhash64
     of the text, spans an array of (first line, line after the last)."""
     spark = docs.sparkSession
@@ -109,15 +110,25 @@ def repeated(docs: DataFrame, min_words: int = MIN_WORDS, whole_runs: bool = Fal
     ws = Workspace(spark, "linededup")
     text = F.col("text").cast("string")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("th"), text.alias("text")).where("text is not null")
-    found = ws.write(rows.mapInArrow(_windows(min_words, min(GRAM_WORDS, min_words), whole_runs), _WINDOWS), "windows")
-    # Rows that are equal in doc_id and text are one document.
-    places = found.select("fp", "doc_id", "th", "place").distinct().groupBy("fp").agg(F.count("*").alias("n")).where("n > 1").select("fp")
-    matched = found.join(places, "fp", "left_semi").select("key", F.col("doc_id").isNull().alias("last"), "doc_id", "th", "first", "stop").distinct()
+    found = ws.write(rows.mapInArrow(_windows(min_words, min(GRAM_WORDS, min_words)), _WINDOWS), "windows")
+    # A fingerprint is repeated if its places differ; rows that are equal in
+    # doc_id and text are one document.
+    place = found.select("fp", F.xxhash64("doc_id", "th", "place").alias("at"))
+    places = ws.write(place.groupBy("fp").agg(F.min("at").alias("a"), F.max("at").alias("b")).where("a <> b").select("fp"), "places")
+    matched = found.join(places, "fp", "left_semi").select("key", F.col("doc_id").isNull().alias("last"), "doc_id", "th", "first", "stop")
+    matched = ws.write(matched.distinct(), "matched")
     order = F.struct("last", "doc_id", "th", "first")
-    earliest = matched.groupBy("key").agg(F.min(order).alias("earliest"), F.count("*").alias("n")).where("n > 1").select("key", "earliest")
+    earliest = matched.groupBy("key").agg(F.min(order).alias("earliest"), F.count("*").alias("n")).where("n > 1")
+    earliest = ws.write(earliest.select("key", "earliest"), "earliest")
     later = matched.join(earliest, "key").where(order != F.col("earliest"))
+    # In the same text, only what begins after the earliest place's end.
+    same = F.col("doc_id").eqNullSafe(F.col("earliest.doc_id")) & (F.col("th") == F.col("earliest.th"))
+    later = later.where(~same | (F.col("first") >= F.col("earliest.first") + F.col("stop") - F.col("first")))
     spans = later.groupBy("doc_id", "th").agg(F.collect_list(F.struct("first", "stop")).alias("spans"))  # no more than twice the text's lines
-    return ws.write(spans, "spans")
+    spans = ws.write(spans, "spans")
+    for table in (found, places, matched, earliest):
+        ws.drop(table)
+    return spans
 
 
 def _deleted(n: int, spans) -> np.ndarray:
@@ -146,22 +157,21 @@ def _rewrite(text: pd.Series, spans: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["text", "n_lines", "n_deleted", "deleted"])
 
 
-def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, whole_runs: bool = False) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """Every row of docs as (row, text, n_lines, n_deleted, deleted): row is a
     struct of the columns as given, text the text without later repeated
-    runs, deleted the runs of lines that went. With whole_runs a run goes up to
-    its last line, else only as far as windows from its lines reach.
+    runs, deleted the runs of lines that went.
 
     A text of which every line went is empty; a null text stays null, has no
     lines and takes no part. Rows equal in doc_id and text are treated alike.
     """
     text = F.col("row.text").cast("string")
     keyed = docs.select(F.struct("*").alias("row")).select("row", F.col("row.doc_id").cast("long").alias("_doc"), F.xxhash64(text).alias("_th"))
-    spans = repeated(docs, min_words, whole_runs).select(F.col("doc_id").alias("_d"), F.col("th").alias("_t"), "spans")
+    spans = repeated(docs, min_words).select(F.col("doc_id").alias("_d"), F.col("th").alias("_t"), "spans")
     # A merge join at every size: many spans would not fit a broadcast.
     both = keyed.join(spans.hint("merge"), F.col("_doc").eqNullSafe(F.col("_d")) & (F.col("_th") == F.col("_t")), "left")
     return both.select("row", F.pandas_udf(_rewrite, _NEW)(text, F.col("spans")).alias("new")).select("row", "new.*")
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup_lines(read_table(spark, sf_dir, "documents"), whole_runs=True).select("row.doc_id", "text", "n_lines", "n_deleted", "deleted")
+    return dedup_lines(read_table(spark, sf_dir, "documents")).select("row.doc_id", "text", "n_lines", "n_deleted", "deleted")

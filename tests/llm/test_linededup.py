@@ -4,22 +4,23 @@ from attestor.llm import linededup as L
 
 
 def brute(rows, least=L.MIN_WORDS):
-    seen, out = {}, {}
-    for doc, text in sorted(rows, key=lambda x: x[0]):
+    """Every pair of places, the later one not overlapping the earlier: equal
+    runs from there with so many words go at the later place."""
+    places, gone = [], {}
+    for doc, text in sorted(rows):
         lines = [x.strip() for x in text.split("\n")]
-        sizes, gone = [len(x.split()) for x in lines], [False] * len(lines)
-        for i in range(len(lines)):
-            total, j = 0, i
-            while sizes[i] and j < len(lines) and total < least:
-                total, j = total + sizes[j], j + 1
-            if total < least:
-                continue
-            if (key := tuple(lines[i:j])) in seen:
-                gone[i:j] = [True] * (j - i)
-            else:
-                seen[key] = (doc, i)
-        out[doc] = "\n".join(x for x, g in zip(text.split("\n"), gone, strict=True) if not g)
-    return out
+        gone[doc] = [False] * len(lines)
+        for b, before in enumerate([*places, lines]):
+            own = b == len(places)
+            for i in range(len(lines)):
+                for k in range(i if own else len(before)):
+                    n, most = 0, i - k if own else len(before) - k
+                    while n < most and i + n < len(lines) and lines[i + n] == before[k + n]:
+                        n += 1
+                    if sum(len(x.split()) for x in lines[i : i + n]) >= least:
+                        gone[doc][i : i + n] = [True] * n
+        places.append(lines)
+    return {doc: "\n".join(x for x, g in zip(text.split("\n"), gone[doc], strict=True) if not g) for doc, text in rows}
 
 
 def test_windows_of_equal_runs_elect_equal_grams():
@@ -40,8 +41,8 @@ def test_matches_brute_force(spark, make):
 
 def test_long_passage_goes_from_later_texts_and_short_ones_stay(make):
     passage, short = " ".join(f"w{i}" for i in range(51)), "a short line"
-    got = {x.row.doc_id: x for x in L.dedup_lines(make([(2, f"b\n{passage}\n{short}", "en"), (1, f"a\n{passage}\n{short}", "en"), (3, f"{passage}\n{passage}", "en")])).collect()}
-    assert got[1].n_deleted == 0 and got[2].text == f"b\n{short}" and got[3].text == ""
+    got = {x.row.doc_id: x for x in L.dedup_lines(make([(2, f"b\n{passage}\nb\n{short}", "en"), (1, f"a\n{passage}\n{short}", "en"), (3, f"{passage}\n{passage}", "en")])).collect()}
+    assert got[1].n_deleted == 0 and got[2].text == f"b\nb\n{short}" and got[3].text == ""
     assert [tuple(s) for s in got[2].deleted] == [(1, 2)]
 
 
@@ -54,35 +55,35 @@ def test_odd_rows(odd, none):
     assert L.dedup_lines(none).count() == 0
 
 
-def brute_runs(rows, least=L.MIN_WORDS):
-    """Lines of maximal equal runs with so many words, all pairs of places."""
-    places, gone = [], {}
-    for doc, text in sorted(rows):
-        lines = [x.strip() for x in text.split("\n")]
-        gone[doc] = [False] * len(lines)
-        for b, (other, before) in enumerate([*places, (doc, lines)]):
-            own = b == len(places)
-            for i in range(len(lines)):
-                for k in range(i if own else len(before)):
-                    if i and k and lines[i - 1] == before[k - 1]:
-                        continue  # not where the run begins
-                    n = 0
-                    while i + n < len(lines) and k + n < len(before) and lines[i + n] == before[k + n]:
-                        n += 1
-                    if sum(len(x.split()) for x in lines[i : i + n]) >= least:
-                        gone[doc][i : i + n] = [True] * n
-        places.append((doc, lines))
-    return {doc: "\n".join(x for x, g in zip(text.split("\n"), gone[doc], strict=True) if not g) for doc, text in rows}
-
-
-def test_whole_runs_match_brute_force_over_maximal_runs(spark, make):
+def test_repeated_chunks_match_brute_force(spark, make):
     r = random.Random(5)
     pool = ["", " "] + [" ".join(r.choice("abcdef") for _ in range(r.choice((0, 1, 3, 8, 20, 60)))) for _ in range(12)]
     chunks = [[r.choice(pool) for _ in range(r.randrange(1, 9))] for _ in range(12)]
     rows = [(i, "\n".join(x for _ in range(r.randrange(5)) for x in [*r.choice(chunks), r.choice(pool)])) for i in range(60)]
-    docs = make([(i, t, "en") for i, t in rows])
-    got = {x.row.doc_id: x.text for x in L.dedup_lines(docs, whole_runs=True).collect()}
-    assert got == brute_runs(rows) != {x.row.doc_id: x.text for x in L.dedup_lines(docs).collect()}
+    got = {x.row.doc_id: x.text for x in L.dedup_lines(make([(i, t, "en") for i, t in rows])).collect()}
+    assert got == brute(rows)
+
+
+def test_runs_that_overlap_themselves_keep_their_first_copy(make):
+    ten, other = " ".join(f"w{i}" for i in range(10)), " ".join(f"v{i}" for i in range(30))
+    texts = ["\n".join([ten] * 12), "\n".join([ten] * 7), "\n".join([other, ten] * 6), "\n".join(["", ten, other] * 9 + [ten])]
+    for text in texts:
+        got = L.dedup_lines(make([(1, text, "en")])).first().text
+        assert got == brute([(1, text)])[1] and len(got.split()) >= L.MIN_WORDS
+    got = {x.row.doc_id: x.text for x in L.dedup_lines(make([(i, t, "en") for i, t in enumerate(texts)])).collect()}
+    assert got == brute(list(enumerate(texts))) and got[0] == "\n".join([ten] * 5) and got[1] == ""
+    r = random.Random(8)
+    pool = [ten, other, "", "short line"]
+    rows = [(i, "\n".join(r.choice(pool) for _ in range(r.randrange(40)))) for i in range(25)]
+    got = {x.row.doc_id: x.text for x in L.dedup_lines(make([(i, t, "en") for i, t in rows])).collect()}
+    assert got == brute(rows)
+
+
+def test_a_passage_in_a_third_of_all_texts(make):
+    passage = "\n".join(" ".join(f"p{i}x{j}" for j in range(20)) for i in range(4))
+    rows = [(i, f"own {i}\n{passage}\nend {i}" if i % 3 == 0 else f"own {i}\nend {i}") for i in range(600)]
+    got = {x.row.doc_id: x.text for x in L.dedup_lines(make([(i, t, "en") for i, t in rows])).collect()}
+    assert got[0] == rows[0][1] and all(got[i] == f"own {i}\nend {i}" for i in range(1, 600))
 
 
 def test_op1_deletes_runs_up_to_their_last_line(spark, make, tmp_path):
