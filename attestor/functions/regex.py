@@ -7,12 +7,19 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def pattern(source: str, any_case: bool = False) -> str:
-    return ("(?iU)" if any_case else "(?U)") + source
+def pattern(source: str, any_case: bool = False, unicode: bool = True) -> str:
+    flags = "i" * any_case + "U" * unicode
+    return f"(?{flags}){source}" if flags else source
 
 
-def found(text: Column, source: str, any_case: bool = False) -> Column:
-    return F.regexp_like(text, F.lit(pattern(source, any_case)))
+def found(text: Column, source: str, any_case: bool = False, unicode: bool = True) -> Column:
+    """Whether the pattern occurs. In text of ASCII alone it does with or
+    without Unicode, and is found faster without."""
+    return F.regexp_like(text, F.lit(pattern(source, any_case, unicode)))
+
+
+def is_ascii(text: Column) -> Column:
+    return F.length(text) == F.octet_length(text)
 
 
 def all_found(text: Column, source: str) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -9,6 +11,12 @@ from . import fixed
 from .regex import all_found, found, literal, pattern
 
 
+def bind(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is computed once, however often f uses it and
+    wherever the optimizer moves the expression."""
+    return F.transform(F.array(value), f)[0]
+
+
 def strip(text: Column) -> Column:
     return F.regexp_replace(text, pattern(r"^\s+|\s+$"), "")
 
@@ -28,25 +36,30 @@ def fix_word_boundaries(text: Column) -> Column:
     names, before function words glued to a word, before common endings, and
     in known joined words, which keep a capital.
 
-    A match of letters can always begin where their run begins, so patterns
-    that start with such a run look behind and are not tried inside it."""
+    Runs of letters are taken whole (possessively) where a hyphen must follow,
+    and glued words are looked for from their own beginning."""
+    # Patterns of what line breaks leave.
     t = F.regexp_replace(text, r"([a-z])([.,])([A-Z])", "$1$2 $3")
     t = F.regexp_replace(t, r"([a-z])([,;])([a-z])", "$1$2 $3")
     t = F.regexp_replace(t, r"([a-z])([A-Z])", "$1 $2")
-    t = F.regexp_replace(t, pattern(rf"([A-Z][a-z]{{2,}})-(?!(?:{literal(fixed.KEEP_AFTER_HYPHEN)})\b)([a-z]{{2,5}})\b"), "$1$2")
-    t = F.regexp_replace(t, pattern(rf"(?<![a-z])([a-z]{{4,}})({fixed.GLUED_WORDS})\b"), "$1 $2")
-    t = F.regexp_replace(t, pattern(rf"(?<![a-z])([a-z]{{3,}})-({fixed.HYPHEN_ENDINGS})\b", any_case=True), "$1$2")
-    known = F.array(*(F.struct(F.lit(p).alias("p"), F.lit(r).alias("r")) for p, r in _known_joins()))
-    joined = F.aggregate(known, t, lambda text, k: F.regexp_replace(text, k["p"], k["r"]))
-    return F.when(found(t, rf"\b(?:{literal(fixed.KNOWN_JOINS)})\b", any_case=True), joined).otherwise(t)
+    t = F.regexp_replace(t, pattern(rf"([A-Z][a-z]{{2,}}+)-(?!(?:{literal(fixed.KEEP_AFTER_HYPHEN)})\b)([a-z]{{2,5}})\b"), "$1$2")
+    t = F.regexp_replace(t, pattern(rf"(?<=[a-z]{{4}})({fixed.GLUED_WORDS})\b"), " $1")
+    t = F.regexp_replace(t, pattern(rf"(?<![a-z])([a-z]{{3,}}+)-({fixed.HYPHEN_ENDINGS})\b", any_case=True), "$1$2")
+    known = rf"\b(?:{literal(fixed.KNOWN_JOINS)})\b"
+    return bind(t, lambda t: F.when(found(t, known, any_case=True), _unjoined(t, pattern(known, any_case=True))).otherwise(t))
+
+
+def _unjoined(text: Column, known: str) -> Column:
+    """Text with its known joined words replaced: cut at them and put together
+    with their right forms between."""
+    right = F.create_map(*(F.lit(x) for kv in fixed.KNOWN_JOINS.items() for x in kv))
 
+    def form(word: Column) -> Column:
+        good = F.try_element_at(right, F.lower(word))
+        return F.when(F.substring(word, 1, 1) == F.lower(F.substring(word, 1, 1)), good).otherwise(F.concat(F.upper(F.substring(good, 1, 1)), F.substring(good, 2, 1 << 20)))
 
-def _known_joins():
-    """Pattern and replacement of each known join, small and capital."""
-    for bad, good in fixed.KNOWN_JOINS.items():
-        rest = literal([bad[1:]])
-        yield pattern(rf"\b{bad[0]}(?i:{rest})\b"), good
-        yield pattern(rf"\b{bad[0].upper()}(?i:{rest})\b"), good[0].upper() + good[1:]
+    words_found = F.regexp_extract_all(text, F.lit(known), F.lit(0))
+    return F.array_join(F.zip_with(F.split(text, known), words_found, lambda rest, word: F.concat(rest, F.coalesce(form(word), word, F.lit("")))), "")
 
 
 _CUT = "\x01"
@@ -89,12 +102,17 @@ def reference_tokens(text: Column) -> Column:
     return F.array_except(F.array_distinct(found_all), stop)
 
 
-def terms(text: Column) -> Column:
-    """Terms of the lexical index: lower-case runs of two or more letters,
-    digits or underscores, repeats included."""
+def tokens(text: Column) -> Column:
+    """Lower-case runs of two or more letters, digits or underscores, repeats
+    included."""
     return F.regexp_extract_all(F.lower(text), F.lit(r"([\p{L}\p{N}_]{2,})"), F.lit(1))
 
 
+def terms(text: Column) -> Column:
+    """Terms of the lexical index: tokens that are no English stop words."""
+    return F.filter(tokens(text), lambda t: ~t.isin(*fixed.ENGLISH_STOPWORDS))
+
+
 def normal_space(text: Column) -> Column:
     return F.array_join(words(text), " ")
 

@@ -28,7 +28,7 @@ def evaluate(claims: DataFrame, corpus: DataFrame, using: Scorers | None = None,
     cited = jsonl.cited_sentences(claims, corpus)
     spans = cited.select(F.col("id").alias("doc_id"), F.struct("doc_no", "sent_idx").alias("span_idx"), F.col("sentence").alias("text"))
     asked = claims.select(F.col("id").alias("claim_id"), F.col("claim").alias("claim_text"), F.col("id").alias("doc_id"), F.lit("completed").alias("status"))
-    best = R.top_k(R.lexical_scores(asked, asked.select("claim_id", "doc_id"), spans), TOP_LEXICAL)
+    best = R.top_k(R.lexical_scores(asked, asked.select("claim_id", "doc_id"), R.build_index(spans)), TOP_LEXICAL)
     pairs = best.select("claim_id", "doc_id", "span_idx", F.col("rank").alias("place")).join(spans, ["doc_id", "span_idx"]).join(asked.select("claim_id", "claim_text"), "claim_id")
     final = R.top_k(using.rerank(pairs), TOP_FINAL, ties=("place",)).withColumnRenamed("text", "span_text")
     # The sentences are of other documents than the claim, which has none.

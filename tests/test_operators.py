@@ -166,7 +166,7 @@ def test_lexical_top_k_keeps_spans_without_score(spark):
     spans = spark.createDataFrame([(1, 0, "alpha beta gamma"), (1, 1, "delta"), (1, 2, "alpha alpha"), (2, 0, "alpha")], "doc_id long, span_idx int, text string")
     claims = spark.createDataFrame([(7, "Alpha?")], "claim_id long, claim_text string")
     targets = spark.createDataFrame([(7, 1)], "claim_id long, doc_id long")
-    got = R.top_k(R.lexical_scores(claims, targets, spans), 3).orderBy("rank").collect()
+    got = R.top_k(R.lexical_scores(claims, targets, R.build_index(spans)), 3).orderBy("rank").collect()
     assert [g.span_idx for g in got] == [2, 0, 1] and got[2].score == 0.0 and {g.doc_id for g in got} == {1}
 
 

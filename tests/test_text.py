@@ -81,7 +81,8 @@ def test_reject_reasons(spark):
 def test_small_functions(spark):
     assert value(spark, T.dedup_key(F.col("t")), t="Lim-ited By  it") == "limitedbyit"
     assert value(spark, T.reference_tokens(F.col("t")), t="The Smith et al. of 2023, a x Smith") == ["smith", "2023"]
-    assert value(spark, T.terms(F.col("t")), t="Éoua a_b x 12 Éoua") == ["éoua", "a_b", "12", "éoua"]
+    assert value(spark, T.tokens(F.col("t")), t="Éoua a_b x 12 The Éoua") == ["éoua", "a_b", "12", "the", "éoua"]
+    assert value(spark, T.terms(F.col("t")), t="The éoua of a_b, and The theory") == ["éoua", "a_b", "theory"]
     assert value(spark, T.context_snippet(F.col("t"), F.lit(3), F.lit(5), 2), t="0123456789") == "123456"
     assert value(spark, T.context_snippet(F.col("t"), F.lit(1), F.lit(2), 200), t="0123") == "0123"
     assert [value(spark, T.confidence_grade(F.col("c")), c=c) for c in (0.85, 0.7, 0.55, 0.1)] == list("ABCD")
