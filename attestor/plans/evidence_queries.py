@@ -22,7 +22,7 @@ from .text_queries import _sql_tokens as _sql_all_tokens
 
 
 def _whole_documents(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.lit(0).alias("span_idx"), "text")
+    return I.spread(table(spark, d, "documents").select("doc_id", F.lit(0).alias("span_idx"), "text"))
 
 
 _BM25_SQL = f"""

@@ -16,6 +16,14 @@ from .registry import table
 
 BLOCKS_PER_PAGE = 8
 
+
+def spread(rows: DataFrame) -> DataFrame:
+    """Rows of fewer files than there are cores, dealt to all: for patterns
+    cost more than an exchange, and a small file is read by one task."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if len(rows.inputFiles()) < cores else rows
+
+
 #: Sentences about an order: {n} is its key, {c} its customer, {y} its year.
 SENTENCES = (
     "The treatment reduced mortality by {n} percent in cohort {c} [{c}].",
@@ -58,7 +66,7 @@ SENTENCES = (
 
 def blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Blocks with page, paragraph, offsets and sections."""
-    rows = ingest.split_blocks(table(spark, sf_dir, "documents")).withColumn("page", (F.floor(F.col("block_idx") / BLOCKS_PER_PAGE) + 1).cast("int"))
+    rows = ingest.split_blocks(spread(table(spark, sf_dir, "documents").select("doc_id", "text"))).withColumn("page", (F.floor(F.col("block_idx") / BLOCKS_PER_PAGE) + 1).cast("int"))
     return ingest.add_paragraphs(ingest.add_sections(ingest.add_offsets(rows)))
 
 
@@ -86,7 +94,7 @@ def sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.element_at(kinds, (F.col("o_orderkey") % len(SENTENCES) + 1).cast("int"))
     for mark, value in (("{n}", "o_orderkey"), ("{c}", "o_custkey"), ("{y}", F.year("o_orderdate"))):
         text = F.replace(text, F.lit(mark), (F.col(value) if isinstance(value, str) else value).cast("string"))
-    return table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("doc_id"), F.col("o_orderkey").alias("block_idx"), F.lit(0).alias("sent_idx"), text.alias("sentence"))
+    return spread(table(spark, sf_dir, "orders")).select(F.col("o_custkey").alias("doc_id"), F.col("o_orderkey").alias("block_idx"), F.lit(0).alias("sent_idx"), text.alias("sentence"))
 
 
 def _quoted(values) -> str:

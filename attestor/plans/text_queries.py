@@ -11,6 +11,7 @@ from attestor.functions.regex import literal
 from attestor.operators import claims as C
 from attestor.operators import ingest
 from attestor.operators import retrieval as R
+from attestor.workspace import Workspace
 
 from . import inputs as I
 from .registry import query, table
@@ -193,6 +194,12 @@ def zero_claim_diagnostic(spark, d):
     return C.diagnose(C.judge(I.sentences(spark, d)), docs)
 
 
+def _accepted(spark, d):
+    """Claims of the judged sentences, which are written first: a filter on
+    the reason would move below whatever spreads the rows."""
+    return Workspace(spark, "judged").write(C.judge(I.sentences(spark, d)), "judged").where("reject_reason is null")
+
+
 _KEY_SQL = "regexp_replace(lower(sentence), '[-\\s]', '', 'g')"
 
 
@@ -200,7 +207,7 @@ _KEY_SQL = "regexp_replace(lower(sentence), '[-\\s]', '', 'g')"
 WITH {_JUDGED_SQL} SELECT doc_id, block_idx, sentence FROM (
   SELECT *, row_number() OVER (PARTITION BY doc_id, {_KEY_SQL} ORDER BY block_idx, sent_idx) AS r FROM judged WHERE reject_reason IS NULL) WHERE r = 1""")
 def claim_dedup(spark, d):
-    return C.first_occurrences(C.judge(I.sentences(spark, d)).where("reject_reason is null")).select("doc_id", "block_idx", "sentence")
+    return C.first_occurrences(_accepted(spark, d)).select("doc_id", "block_idx", "sentence")
 
 
 @query("""
@@ -237,7 +244,7 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY cited DESC,
 
 
 def _capped(spark, d):
-    kept = C.first_occurrences(C.judge(I.sentences(spark, d)).where("reject_reason is null"))
+    kept = C.first_occurrences(_accepted(spark, d))
     rows = kept.withColumn("markers", T.citation_markers(F.col("sentence"))).withColumn("claim_idx", F.row_number().over(Window.partitionBy("doc_id").orderBy("block_idx")) - 1)
     pages = table(spark, d, "customer").select(F.col("c_custkey").alias("doc_id"), (F.col("c_nationkey") % 5).alias("total_pages"))
     return rows, C.cap(rows, pages)
