@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 HEADING_SIZE, FOOTNOTE_SIZE, FOOTNOTE_FROM = 13.0, 9.0, 0.85
-PDF_MAGIC, ZIP_MAGIC = "25504446", "504B0304"
+PDF_MAGIC, ZIP_MAGIC = b"%PDF", b"PK\x03\x04"
 
 
 def block_type(max_size: Column, centre_y: Column, page_height: Column) -> Column:
@@ -27,11 +27,11 @@ def in_table(centre_x: Column, centre_y: Column, tables: Column) -> Column:
 
 
 def sniff_type(content: Column) -> Column:
-    """pdf, docx or null by the first bytes of a file and a document marker."""
-    head = F.hex(F.substring(content, 1, 4))
-    inside = F.hex(content)
-    marks = F.contains(inside, F.lit("[Content_Types].xml".encode().hex().upper())) | F.contains(inside, F.lit(b"word/document".hex().upper()))
-    return F.when(head == PDF_MAGIC, "pdf").when((head == ZIP_MAGIC) & marks, "docx")
+    """pdf, docx or null by the first bytes of a file and a document marker,
+    which is looked for in the bytes as they are."""
+    binary = lambda b: F.unhex(F.lit(b.hex()))
+    marks = F.position(binary(b"[Content_Types].xml"), content) + F.position(binary(b"word/document"), content) > 0
+    return F.when(F.startswith(content, binary(PDF_MAGIC)), "pdf").when(F.startswith(content, binary(ZIP_MAGIC)) & marks, "docx")
 
 
 def check_files(files: DataFrame, max_mb: int = 50) -> DataFrame:

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from attestor.config import DEFAULTS, IN_FLIGHT, NO_VERDICT_SEVERITY, REVIEW_ACTIONS, SEVERITY, STAGE_SECONDS, VERDICTS, Settings
 from attestor.functions import scores as S
+from attestor.functions import text as T
+from attestor.workspace import Workspace
 
 RESTARTED = "ServerRestart: pipeline was interrupted by server shutdown"
 
@@ -36,6 +38,19 @@ def queue(claims: DataFrame, verdicts: DataFrame) -> DataFrame:
     return rows.select(*claims.columns, F.coalesce("severity", F.lit(NO_VERDICT_SEVERITY)).alias("severity"), F.col("_first.verdict_type").alias("verdict_type"), F.col("_first.confidence").alias("confidence"), F.coalesce("verdict_types", F.array().cast("array<string>")).alias("verdict_types"))
 
 
+def add_places(rows: DataFrame, order: list[str]) -> DataFrame:
+    """rows with place, from 1 through the whole order. They are ordered in
+    ranges, written once so that the ranges are certain; each range is numbered
+    by itself and begins where the ones before it end, so no task orders more
+    than a range however few keys there are."""
+    ws = Workspace(rows.sparkSession, "places")
+    ranged = ws.write(rows.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()), "ranged")
+    sizes = ranged.groupBy("_range").agg(F.count("*").alias("_n"))  # one row a range
+    before = sizes.select("_range", (F.sum("_n").over(Window.orderBy("_range")) - F.col("_n")).alias("_before"))
+    place = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
+    return ranged.withColumn("place", place).join(F.broadcast(before), "_range").withColumn("place", F.col("place") + F.col("_before")).drop("_range", "_before")
+
+
 def filter_queue(rows: DataFrame, evidence: DataFrame | None = None, verdict: str | None = None, band: str | None = None, source: object = None) -> DataFrame:
     """Rows with any verdict of the type; of the confidence band by the first
     verdict; with evidence from the source. What is null does not filter."""
@@ -88,9 +103,20 @@ def deletable(packets: DataFrame, packet_id: object, session_id: str | None) ->
 
 
 def delete_packets(tables: dict[str, DataFrame], gone: DataFrame) -> dict[str, DataFrame]:
-    """All tables that have a packet_id without the packets of gone."""
+    """All tables without the packets of gone: by packet_id, or by the claims
+    of those packets where a table knows its claim only. A table that knows
+    neither is an error, as its rows would stay behind."""
     ids = gone.select("packet_id").distinct()
-    return {name: t.join(ids, "packet_id", "left_anti") if "packet_id" in t.columns else t for name, t in tables.items()}
+    lost = tables["claims"].join(ids, "packet_id", "left_semi").select("claim_id").distinct() if "claims" in tables else None
+
+    def rest(name: str, t: DataFrame) -> DataFrame:
+        if "packet_id" in t.columns:
+            return t.join(ids, "packet_id", "left_anti")
+        if "claim_id" in t.columns and lost is not None:
+            return t.join(lost, "claim_id", "left_anti")
+        raise ValueError(f"{name} has neither packets nor known claims")
+
+    return {name: rest(name, t) for name, t in tables.items()}
 
 
 def progress(runs: DataFrame, now: Column) -> DataFrame:
@@ -149,8 +175,20 @@ def top_evidence(evidence: DataFrame, n: int = 3) -> DataFrame:
 
 
 def by_weight(weights: DataFrame) -> DataFrame:
-    """Evidence of claims in the order it is shown: the heaviest first."""
-    return weights.orderBy("claim_id", F.desc("weight"), "retrieval_rank")
+    """Evidence of claims with place, the order it is shown in: the heaviest
+    first, of equals by rank."""
+    order = Window.partitionBy("claim_id").orderBy(F.desc("weight"), "retrieval_rank")
+    return weights.withColumn("place", F.row_number().over(order))
+
+
+def claim_detail(claims: DataFrame, documents: DataFrame, evidence: DataFrame, verdicts: DataFrame, s: Settings = DEFAULTS) -> DataFrame:
+    """One row for each evidence span of each claim (or one without evidence):
+    the claim with the text round it, its verdict if it has one, the span and
+    the name of its document."""
+    shown = claims.join(documents.select("doc_id", F.col("text").alias("_text")), "doc_id").withColumn("context", T.context_snippet(F.col("_text"), F.col("char_start"), F.col("char_end"), s.snippet_chars))
+    judged = shown.select("claim_id", "claim_text", "context").join(verdicts.select("claim_id", "verdict_type", "confidence"), "claim_id", "left")
+    named = add_source_names(evidence, documents)
+    return judged.join(named.select("claim_id", "source_filename", "span_text", "relevance_score", "retrieval_rank"), "claim_id", "left")
 
 
 def self_verified(reasoning: Column) -> Column:

@@ -36,14 +36,8 @@ def _queue(spark, d):
 
 @query(f"WITH {_QUEUE_SQL} SELECT claim_id, severity, verdict_type, confidence, row_number() OVER (ORDER BY severity, claim_id) AS place FROM queue")
 def severity_queue(spark, d):
-    """The queue in order. A place for every row needs them all ordered; the
-    rows of a severity are counted first, so that no task orders them all."""
-    from pyspark.sql import Window
-
-    rows = _queue(spark, d).select("claim_id", "severity", "verdict_type", "confidence")
-    sizes = rows.groupBy("severity").agg(F.count("*").alias("_n"))
-    before = sizes.alias("a").join(sizes.alias("b"), F.col("b.severity") < F.col("a.severity"), "left").groupBy("a.severity").agg(F.coalesce(F.sum("b._n"), F.lit(0)).alias("_before"))  # five rows
-    return rows.join(F.broadcast(before), "severity").withColumn("place", F.row_number().over(Window.partitionBy("severity").orderBy("claim_id")) + F.col("_before")).drop("_before")
+    """The queue in order, with a place for every row."""
+    return V.add_places(_queue(spark, d).select("claim_id", "severity", "verdict_type", "confidence"), ["severity", "claim_id"])
 
 
 @query(f"WITH {_QUEUE_SQL} SELECT claim_id, severity, verdict_type, confidence FROM queue WHERE any_contradicted AND confidence >= 0.5 AND confidence < 0.8")

@@ -22,8 +22,9 @@ def _q(text: str) -> str:
 
 
 def _sql_sentences(text: str) -> str:
-    cut = f"string_split(regexp_replace({text}, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1))"
-    return f"list_filter(list_transform({cut}, lambda s: regexp_replace(s, '^\\s+|\\s+$', '', 'g')), lambda s: s <> '')"
+    held = f"regexp_replace({text}, '\\b({literal(X.ABBREVIATIONS)})\\.(\\s+)', '\\1.' || chr(2) || '\\2', 'g')"
+    cut = f"string_split(regexp_replace({held}, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1))"
+    return f"list_filter(list_transform({cut}, lambda s: regexp_replace(replace(s, chr(2), ''), '^\\s+|\\s+$', '', 'g')), lambda s: s <> '')"
 
 
 def _sql_tokens(text: str) -> str:
@@ -52,6 +53,16 @@ def sentence_split(spark, d):
     return table(spark, d, "documents").select("doc_id", F.posexplode(T.sentences(F.col("text"))).alias("sent_idx", "sentence"))
 
 
+_TALK = "'Prices rose, e.g. in ' || o_orderstatus || ', by Miller et al. (cf. Fig. ' || o_orderkey || ') vs. ' || o_custkey || '.  Dr. No left!  Why? See pp. 3-4 and vol. 2. It ended.'"
+
+
+@query(f"""
+SELECT o_orderkey, unnest(s) AS sentence, unnest(range(len(s))) AS sent_idx FROM (SELECT o_orderkey, {_sql_sentences("t")} AS s FROM (SELECT o_orderkey, {_TALK} AS t FROM orders))""")
+def sentence_abbreviations(spark, d):
+    """Sentences with abbreviations inside."""
+    return table(spark, d, "orders").select("o_orderkey", F.posexplode(T.sentences(F.expr(_TALK))).alias("sent_idx", "sentence"))
+
+
 @query(f"WITH {I.BLOCKS} SELECT doc_id, block_idx, char_start, char_end, page, paragraph, block_type, md5(text) AS text_md5 FROM blocks")
 def block_offsets(spark, d):
     return I.blocks(spark, d).select("doc_id", "block_idx", "char_start", "char_end", "page", "paragraph", "block_type", F.md5(F.col("text").cast("binary")).alias("text_md5"))
