@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import evidence_queries, review_queries, text_queries  # noqa: F401  they register their queries
+from . import evidence_queries, review_queries, source_queries, text_queries  # noqa: F401  they register their queries
 from .registry import ORACLES, QUERIES
 
 
