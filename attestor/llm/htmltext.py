@@ -5,24 +5,29 @@ white space inside a block one space. Pages of one host with equal lines are
 one page, that of the first path. Pages of a host are ordered by URL path, and
 each is paired with the neighbour in that order whose path shares
 the longer beginning. The lines of the two are aligned by longest common
-subsequence; shared lines are what the site repeats, and go, but for blocks of
-LONG_WORDS words or more that at most FEW_PAGES different pages of the host
-have: those are text that the site carries in several versions.
-
-Differencing alone fails both ways: an article that a site carries twice is
-shared though it is text, and notices drawn from a pool differ between
-neighbours though they are not. Two checks on the markup follow. Lines inside
-an element that a page marks as its article or main part stay even if shared,
-and where a page has such an element, lines outside it go. Lines inside
-elements that are menus, headers, footers, sidebars, notices, adverts, forms
-or reader comments by tag, role, class or id go wherever they are. A class or
-id tells by its whole name or the beginning of it. An element that goes by
-class, id or role, or is a form, may be the page's layout: a main part in it
-stays, and an article if the page has no other and no more text outside it.
+subsequence; shared lines are what the site repeats, and go. Of those, lines
+that at most FEW_PAGES different pages of the host have stay if they have
+LONG_WORDS words or the host has many more pages: they are text that the site
+carries in several versions, or short lines that are equal by chance.
+
+Markup comes in where differencing cannot tell. Lines inside an element that a
+page marks as its article or main part are protected: a site may carry an
+article twice. On such a page, other lines that are not shared stay if they
+have LONG_WORDS words; short ones go, as do lines inside menus, headers,
+footers, sidebars, notices, adverts, forms and reader comments (by tag, role,
+or the whole or the beginning of a class or id), which sites draw from pools,
+so that neighbours need not share them. An element that goes by class, id or
+role, or is a form, may be the page's layout: a main part in it stays, an
+article if the page has no other and no more text outside it, and all of it if
+the page marks no main part and has less text elsewhere, but for adverts,
+comments and notices on cookies.
 
 What is ordered, exchanged and aligned is one row a page with 64-bit hashes of
 its lines. Neighbours are found in ranges of the order with the borders of
 ranges handed over, so a host with a third of all pages is spread like others.
+A page is parsed twice, for its hashes and for its text: keeping the text of
+all pages between would add about half the input to the disk that is needed.
+Parsing takes time in proportion to the page, whatever its markup.
 """
 
 from __future__ import annotations
@@ -53,12 +58,16 @@ _ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog fo
 _WORDS = frozenset(
     "ad ads adbox adsense advert advertisement adverts alert aside banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer form gdpr hidden login masthead menu modal nav navbar navigation newsletter notice notices overlay pager pagination paywall popup promo promotion recommended related replies reply respond search share sharing sidebar signin signup skip social sponsor sponsored subscribe subscription tagcloud toolbar widget widgets".split()
 )
+#: Of these, what is no page's layout.
+_NOISE = frozenset("ad ads adbox adsense advert advertisement adverts comment comments consent cookie cookies disqus gdpr replies reply respond sponsor sponsored".split())
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
 _NEVER_DROPPED = frozenset("html body article main".split())
 _NAME = re.compile(r"[A-Z]?[a-z0-9]+|[A-Z]+")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
-PLAIN, MAIN, DROPPED, LAYOUT, RESCUED = 0, 1, 2, 3, 4
-LONG_WORDS, FEW_PAGES = 20, 5
+PLAIN, MAIN, DROPPED, LAYOUT, RESCUED, NOISE = 0, 1, 2, 3, 4, 5
+LONG_WORDS, FEW_PAGES, MANY_PAGES = 20, 5, 50
+_UNTAGGED = re.compile(r"<!--|<!\[CDATA\[|<[!?]")
+_CONTAINERS = {tag: (tag, "ul", "ol", "dl", "table", "select") for tag in ("li", "dd", "dt", "option", "tr")}
 
 
 def _attributes(raw: str) -> dict[str, str]:
@@ -85,7 +94,7 @@ def _kind(tag: str, raw: str, inside_main: bool) -> tuple[int, bool]:
     if tag not in _NEVER_DROPPED:
         names = _names(at)
         if tag == "form" or role in _ROLES or names & _WORDS:
-            return LAYOUT, False
+            return (NOISE if names & _NOISE else LAYOUT), False
         if tag == "header" or "header" in names:
             return PLAIN, True
     elif tag == "article" and _names(at) & {"comment", "comments", "reply"}:
@@ -97,9 +106,11 @@ def _kind(tag: str, raw: str, inside_main: bool) -> tuple[int, bool]:
 def blocks(page: str | None) -> list[tuple[str, int]]:
     """The blocks with text of one page, each PLAIN, MAIN or DROPPED."""
     page, at, out, text = page or "", 0, [], []
+    last = page.rfind(">")  # no tag ends after it
     # open elements: (tag, in main, PLAIN or how it is dropped, in a page header)
     stack: list[tuple[str, bool, int, bool]] = [("", False, PLAIN, False)]
     headings = 0
+    places: dict[str, list[int]] = {}  # of open elements in the stack, by tag
 
     def close() -> None:
         if text:
@@ -107,17 +118,19 @@ def blocks(page: str | None) -> list[tuple[str, int]]:
             text.clear()
             if joined:
                 _, main, dropped, header = stack[-1]
-                gone = dropped in (DROPPED, LAYOUT) or header and not (main and headings)
-                out.append((joined, DROPPED if gone else dropped or (MAIN if main else PLAIN)))
+                if header and not (main and headings):
+                    dropped = DROPPED
+                out.append((joined, dropped or (MAIN if main else PLAIN)))
 
     def pop(n: int) -> None:
         nonlocal headings
-        for tag, *_ in stack[n:]:
+        for tag, *_ in reversed(stack[n:]):
             headings -= tag in _HEADINGS
+            places[tag].pop()
         del stack[n:]
 
     while at < len(page):
-        m = _TAG.search(page, at)
+        m = (_TAG if at <= last else _UNTAGGED).search(page, at)
         if m is None:
             text.append(page[at:])
             break
@@ -149,7 +162,7 @@ def blocks(page: str | None) -> list[tuple[str, int]]:
         elif tag in _SPACED:
             text.append(" ")
         if closing:
-            n = next((i for i in range(len(stack) - 1, 0, -1) if stack[i][0] == tag), 0)
+            n = places[tag][-1] if places.get(tag) else 0
             if n:
                 _, _, dropped, _ = stack[n]
                 if dropped != stack[n - 1][2]:
@@ -160,8 +173,8 @@ def blocks(page: str | None) -> list[tuple[str, int]]:
             continue
         if tag in _BLOCK and stack[-1][0] == "p":
             pop(len(stack) - 1)
-        elif tag == "li" or tag in ("dd", "dt", "option", "tr"):
-            n = next((i for i in range(len(stack) - 1, 0, -1) if stack[i][0] in (tag, "ul", "ol", "dl", "table", "select")), 0)
+        elif tag in _CONTAINERS:
+            n = max((places[t][-1] for t in _CONTAINERS[tag] if places.get(t)), default=0)
             if n and stack[n][0] == tag:
                 pop(n)
         _, main, dropped, header = stack[-1]
@@ -169,20 +182,23 @@ def blocks(page: str | None) -> list[tuple[str, int]]:
         now = dropped
         if DROPPED in (kind, dropped):
             now = DROPPED
-        elif kind == LAYOUT:
-            now = LAYOUT
+        elif kind in (LAYOUT, NOISE):
+            now = NOISE if NOISE in (kind, dropped) else LAYOUT
         elif kind == MAIN and not main:
             header = False
-            if dropped == LAYOUT:
+            if dropped in (LAYOUT, NOISE):
                 now = PLAIN if tag == "main" or _attributes(raw).get("role", "").lower() == "main" else RESCUED
         if now != dropped:
             close()
+        places.setdefault(tag, []).append(len(stack))
         stack.append((tag, main or kind == MAIN, now, header or heads))
         headings += tag in _HEADINGS
     close()
-    size = {k: sum(len(t) for t, kind in out if kind == k) for k in (PLAIN, MAIN, RESCUED)}
-    rescued = MAIN if not size[MAIN] and size[RESCUED] >= size[PLAIN] else DROPPED
-    return [(t, rescued if kind == RESCUED else kind) for t, kind in out]
+    size = {k: sum(len(t) for t, kind in out if kind == k) for k in (PLAIN, MAIN, RESCUED, LAYOUT)}
+    is_main = not size[MAIN] and size[RESCUED] >= size[PLAIN] and size[RESCUED] > 0
+    whole = not size[MAIN] and not is_main and size[LAYOUT] > size[PLAIN]
+    final = {PLAIN: PLAIN, MAIN: MAIN, RESCUED: MAIN if is_main else DROPPED, LAYOUT: PLAIN if whole else DROPPED}
+    return [(t, final.get(kind, DROPPED)) for t, kind in out]
 
 
 def shared_lines(a: list, b: list) -> list[int]:
@@ -274,10 +290,15 @@ def differences(pages: DataFrame) -> DataFrame:
     first = F.min_by(F.struct("path", "page_id", "th", "lines", "long"), F.struct("path", "page_id", "th")).alias("page")
     different = ws.write(hashed.groupBy("host", "seq").agg(first).select("host", "seq", "page.*"), "different")
     ranged = ws.write(different.drop("long").repartitionByRange(*order).sortWithinPartitions(*order).withColumn("range", F.spark_partition_id()), "ranges")
-    # The long lines that few pages of a host have, for each page.
-    long = different.select("host", "seq", F.explode("long").alias("line")).withColumn("at", F.xxhash64("host", "line"))
-    few = long.groupBy("at").agg(F.count("*").alias("n")).where(F.col("n").between(2, FEW_PAGES)).select("at")
-    kept = long.join(few, "at", "left_semi").groupBy("host", "seq").agg(F.collect_set("line").alias("kept"))
+    # The lines that few pages of a host have, of long ones or on large hosts.
+    # Tables between, so that a line that is on very many pages is split.
+    each = different.select("host", "seq", "long", F.explode(F.array_distinct("lines")).alias("line"))
+    each = each.select("host", "seq", "line", F.array_contains("long", F.col("line")).alias("is_long")).withColumn("at", F.xxhash64("host", "line"))
+    few = each.groupBy("at").agg(F.count("*").alias("n")).where(F.col("n").between(2, FEW_PAGES)).select("at")
+    versions = ws.write(each.join(ws.write(few, "few"), "at", "left_semi").drop("at"), "versions")
+    large = ws.write(different.groupBy("host").agg(F.count("*").alias("n")).where(F.col("n") >= MANY_PAGES).select("host"), "large")
+    stay = versions.where("is_long").unionByName(versions.where("not is_long").join(large, "host", "left_semi"))
+    kept = stay.groupBy("host", "seq").agg(F.collect_set("line").alias("kept"))
     near = F.struct("host", "path", "lines")
     inside = Window.partitionBy("range").orderBy(*order)
     rows = ranged.withColumns({"before": F.lag(near).over(inside), "after": F.lead(near).over(inside)})
@@ -291,7 +312,7 @@ def differences(pages: DataFrame) -> DataFrame:
     gone = ws.write(rows.mapInArrow(_aligned, "host string, seq long, gone array<int>"), "gone")
     # Rows equal in page_id and th are one page.
     found = ws.write(hashed.select("page_id", "th", "host", "seq").distinct().join(gone, ["host", "seq"]).select("page_id", "th", "gone"), "pages")
-    for table in (hashed, different, ranged, gone):
+    for table in (hashed, different, ranged, versions, large, gone):
         ws.drop(table)
     return found
 
@@ -300,8 +321,12 @@ def main_text(page: str | None, gone: list[int] | np.ndarray | None) -> str:
     """The text of one page whose nearest page shares the lines gone."""
     found = blocks(page)
     shared = set() if gone is None else set(map(int, gone))
-    wanted = MAIN if any(kind == MAIN for _, kind in found) else PLAIN
-    return "\n".join(t for i, (t, kind) in enumerate(found) if kind == wanted and (kind == MAIN or i not in shared))
+    marked = any(kind == MAIN for _, kind in found)
+
+    def stays(i: int, text: str, kind: int) -> bool:
+        return kind == MAIN or kind == PLAIN and i not in shared and (not marked or len(text.split()) >= LONG_WORDS)
+
+    return "\n".join(t for i, (t, kind) in enumerate(found) if stays(i, t, kind))
 
 
 def _texts(pages: pd.Series, gone: pd.Series) -> pd.Series:

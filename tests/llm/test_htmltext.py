@@ -96,3 +96,88 @@ def test_what_is_marked_goes_still():
     assert H.main_text(f"<article>The text{comments}</article>", None) == H.main_text(f"<article>The text</article>{comments}", None) == "The text"
     assert H.main_text("<p>The text of the page</p><div class=related><article>Teaser</article></div>", None) == "The text of the page"
     assert H.main_text("<div style='display:none'><main>x</main></div><p>The text</p>", None) == "The text"
+
+
+def nearest(rows):
+    """By brute force: each page's nearest different page of its host."""
+    first = {}
+    for page, host, path, lines in sorted(rows, key=lambda r: (r[1], r[2], r[0])):
+        first.setdefault((host, tuple(lines)), (path, page))
+    out = {}
+    for (host, lines), (path, page) in first.items():
+        others = sorted((p, i, x) for (h, x), (p, i) in first.items() if h == host)
+        at = others.index((path, page, lines))
+        near = [others[j] for j in (at - 1, at + 1) if 0 <= j < len(others)]
+        same = lambda p: next((k for k, (x, y) in enumerate(zip(p, path, strict=False)) if x != y), min(len(p), len(path)))  # noqa: B023, E731
+        out[host, lines] = max(near, key=lambda n: same(n[0]))[2] if near else ()
+    return out
+
+
+def test_unmarked_pages_match_brute_force_pairing(spark):
+    r = random.Random(21)
+    pool = [f"line {c}{k}" for c in "abcdef" for k in range(3)]
+    rows = []
+    for i in range(120):
+        host, path = f"h{r.choice('0001')}.example", f"/{r.choice('xyz')}{r.randrange(9)}/{r.randrange(40)}"
+        rows.append((i, host, path, ["Welcome to the site", *r.sample(pool, r.randrange(6)), f"own {i}" if i % 5 else "twice", "Imprint"]))
+    html = lambda lines: "<body>" + "".join(f"<div>{x}</div>" for x in lines) + "</body>"
+    df = spark.createDataFrame([(i, f"http://{h}{p}", html(x)) for i, h, p, x in rows], "page_id long, url string, html string")
+    got = {x.page_id: x.text.split("\n") if x.text else [] for x in H.extract(df).collect()}
+    # on the large host, lines that few pages share stay; none is long
+    pairs = nearest(rows)
+    sizes = {h: len({tuple(x) for _, g, _, x in rows if g == h}) for _, h, _, _ in rows}
+    assert max(sizes.values()) >= H.MANY_PAGES > min(sizes.values())
+    for i, host, _, lines in rows:
+        near = pairs[host, tuple(lines)]
+        on = {x: len({tuple(y) for _, h, _, y in rows if h == host and x in y}) for x in lines}
+        rare = {x for x in lines if sizes[host] >= H.MANY_PAGES and 2 <= on[x] <= H.FEW_PAGES}
+        gone = len(lines) - len(got[i])
+        assert lcs([x for x in lines if x not in rare], near) <= lcs(lines, near)
+        assert lcs(got[i], lines) == len(got[i])
+        if not rare:
+            assert gone == lcs(lines, near)
+        assert "Welcome to the site" not in got[i] and "Imprint" not in got[i] and (i % 5 == 0 or f"own {i}" in got[i])
+
+
+def test_ignoring_the_difference_would_change_the_text(spark):
+    body = lambda i: f"<body><div>Site of all news</div><p>Article {i} says something of its own</p><p>Read the rules</p></body>"
+    df = spark.createDataFrame([(i, f"http://h.example/{i}", body(i)) for i in range(4)], "page_id long, url string, html string")
+    for row in H.extract(df).collect():
+        assert row.text == f"Article {row.page_id} says something of its own" != H.main_text(body(row.page_id), None)
+    assert H.main_text(body(0), [0, 2]) == "Article 0 says something of its own"
+
+
+def test_marks_protect_and_unmarked_text_needs_length():
+    long = " ".join(f"w{i}" for i in range(H.LONG_WORDS))
+    page = f"<div>short</div><div>{long}</div><article><p>a</p><p>b</p></article>"
+    assert H.main_text(page, [2, 3]) == f"{long}\na\nb" and H.main_text(page, [1]) == "a\nb"
+
+
+def test_layout_that_holds_nearly_all_text_stays():
+    text = "<p>The text of the page is here</p><p>and goes on</p>"
+    for name in ("sidebar-layout-page sidebar", "widget", "related"):
+        assert H.main_text(f"<div class='{name}'>{text}</div><p>x</p>", None) == "The text of the page is here\nand goes on\nx"
+    assert H.main_text(f"<div class='comments'>{text}</div><p>x</p>", None) == "x"
+
+
+def test_time_is_in_proportion_whatever_the_markup():
+    import time
+
+    def taken(make, n):
+        began = time.process_time()
+        H.blocks(make(n))
+        return time.process_time() - began
+
+    for make in (lambda n: "<div>" * n + "</p>" * n, lambda n: '<a b="' * n, lambda n: "<select>" + "<div>" * n + "<option>x</option>" * n, lambda n: "<ul><li>" * n):
+        assert taken(make, 40_000) < 20 * max(taken(make, 10_000), 0.02)
+
+
+def test_long_pages_and_lines_on_many_hosts(spark):
+    r = random.Random(3)
+    words = [" ".join(r.choice("abcdefgh") * r.randrange(1, 8) for _ in range(30)) for _ in range(3000)]
+    big = "<body>" + "".join(f"<p>{w} {i}</p>" for i, w in enumerate(words)) + "</body>"
+    rows = [(0, "http://long.example/1", big), (1, "http://long.example/2", big + "<p>more</p>")]
+    rows += [(2 + i, f"http://h{i % 40}.example/{i}", f"<body><div>On every host</div><p>Text {i}</p></body>") for i in range(200)]
+    got = {x.page_id: x.text for x in H.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[0].count("\n") == 2999 and got[1].endswith("more")
+    assert all(got[2 + i] == f"Text {i}" for i in range(200))
