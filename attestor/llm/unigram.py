@@ -11,8 +11,10 @@ vocabulary less 10; it counts its UTF-8 bytes if the vocabulary has all byte
 pieces, and a run of unknown characters counts one token otherwise. Scores are
 added in double precision.
 
-Text is normalised as the vocabulary file asks: one space is put in front and
-spaces become U+2581. Where no piece of the vocabulary holds U+2581 after
+Text is normalised as the vocabulary file asks. Read from it are the settings
+that this module knows (one space in front, spaces to U+2581, extra white
+space kept or not); a file with a table of character mappings is refused, as
+counts would be wrong without it. Where no piece of the vocabulary holds U+2581 after
 another character, the best segmentation falls apart before each run of
 U+2581, and each part is solved once and kept; otherwise a text is solved
 whole.
@@ -42,9 +44,10 @@ _PARTS = re.compile(f"{SPACE}({SPACE}*[^{SPACE}]*)")
 class Unigram(dict):
     """Counts of texts; as a dict, the row of each part solved before."""
 
-    def __init__(self, pieces: list[tuple[str, float]], byte_fallback: bool):
+    def __init__(self, pieces: list[tuple[str, float]], byte_fallback: bool, squeeze: bool = False):
+        """squeeze: spaces at the ends go, and of several together all but one."""
         super().__init__()
-        self.byte_fallback = byte_fallback
+        self.byte_fallback, self.squeeze = byte_fallback, squeeze
         self.automaton, scores = ahocorasick.Automaton(), {}
         for piece, score in pieces:
             if piece:
@@ -92,6 +95,8 @@ class Unigram(dict):
 
     def count(self, text: str) -> tuple[int, int, float]:
         """Tokens, unknown characters and score of a text; empty: no tokens."""
+        if self.squeeze:
+            text = re.sub(" +", " ", text).strip(" ")
         if not text:
             return 0, 0, 0.0
         if not self.parted:
@@ -108,6 +113,43 @@ class Unigram(dict):
         return tokens, odd, score
 
 
+def _fields(data: bytes):
+    """(number, value) of a protocol buffers message."""
+    at = 0
+
+    def number() -> int:
+        nonlocal at
+        value = shift = 0
+        while True:
+            byte = data[at]
+            at, value, shift = at + 1, value | (byte & 127) << shift, shift + 7
+            if byte < 128:
+                return value
+
+    while at < len(data):
+        field, kind = divmod(number(), 8)
+        if kind == 0:
+            yield field, number()
+        else:
+            size = number() if kind == 2 else {1: 8, 5: 4}[kind]
+            yield field, data[at : at + size]
+            at += size
+
+
+def normaliser(model: bytes) -> bool:
+    """Whether a sentencepiece file asks for extra white space to go. Other
+    normalisation than that is an error, as is a file that puts no space in
+    front or keeps spaces as they are."""
+    # Numbers of fields of the format, and their defaults.
+    settings: dict[int, object] = {2: b"", 3: 1, 4: 1, 5: 1}
+    for field, value in _fields(model):
+        if field == 3:
+            settings |= dict(_fields(value))
+    if settings[2] or not settings[3] or not settings[5]:
+        raise ValueError("the vocabulary asks for a normalisation that is not known here")
+    return bool(settings[4])
+
+
 def load(model: bytes) -> tuple[list[tuple[str, float]], bool]:
     """Pieces that can match text, with scores, of a sentencepiece file, and
     whether it has all byte pieces. Control, unknown and byte pieces don't
@@ -127,7 +169,7 @@ def _model(data: bytes) -> Unigram:
     key = hash(data)
     if key not in _MODELS:
         _MODELS.clear()
-        _MODELS[key] = Unigram(*load(data))
+        _MODELS[key] = Unigram(*load(data), normaliser(data))
     return _MODELS[key]
 
 
@@ -141,7 +183,9 @@ def token_counts(docs: DataFrame, vocabulary: str) -> DataFrame:
     spark = docs.sparkSession
     ship_code(spark)
     with open(vocabulary, "rb") as f:  # under a megabyte, whatever the corpus
-        data = spark.sparkContext.broadcast(f.read())
+        model = f.read()
+    normaliser(model)  # fails here, not on executors
+    data = spark.sparkContext.broadcast(model)
 
     def rows(batches):
         model = _model(data.value)

@@ -52,3 +52,26 @@ def test_odd_rows(odd, none):
     rows = U.token_counts(odd, path).collect()
     assert len(rows) == odd.count() and all(r.n_tokens == 0 for r in rows if r.doc_id in (2, 3))
     assert U.token_counts(none, path).count() == 0
+
+
+def test_whole_long_texts_match_the_library():
+    with open(P.path("piece_bpe_32k.model"), "rb") as f:
+        data = f.read()
+    pieces, byte_fallback = U.load(data)
+    mine, theirs, r = U.Unigram(pieces, byte_fallback, U.normaliser(data)), library(pieces, byte_fallback), random.Random(17)
+    words = ["".join(r.choice("etaoinshrdlu") for _ in range(r.randrange(1, 12))) for _ in range(500)] + ["über", "niño", "日本", "12.5", "(see", "end.", "\n", "  ", "x" * 300]
+    for n in (3_000, 20_000):
+        text = " ".join(r.choice(words) for _ in range(n))
+        assert mine.count(text)[0] == len(theirs.encode(text).ids)
+
+
+def test_normaliser_is_read_from_the_file():
+    with open(P.path("piece_bpe_32k.model"), "rb") as f:
+        assert U.normaliser(f.read()) is False
+    spec = lambda body: b"\x1a" + bytes([len(body)]) + body
+    assert U.normaliser(spec(b"")) is True and U.normaliser(spec(b"\x20\x00")) is False
+    for other in (b"\x12\x01x", b"\x18\x00", b"\x28\x00"):
+        with pytest.raises(ValueError):
+            U.normaliser(spec(other))
+    squeezed, pieces = U.Unigram([(U.SPACE, -1.0), ("a", -1.0)], False, True), [(U.SPACE, -1.0), ("a", -1.0)]
+    assert squeezed.count("  a   a ") == U.Unigram(pieces, False).count("a a") and squeezed.count("  ") == (0, 0, 0.0)
