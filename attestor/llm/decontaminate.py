@@ -106,14 +106,18 @@ class Index:
         at, item = np.repeat(at, copies), self.item[entry]
         diagonal = at - self.place[entry] + self.longest
         half = self.k[item] + 1
-        key = (piece[at].astype(np.int64) * len(self.m) + item) << np.int64(24)
+        # As many bits for a band as the codes and the longest passage need.
+        bits = (len(codes) + self.longest + 2 * int(self.k.max(initial=0)) + 2).bit_length()
+        if (int(piece.max(initial=0)) + 1) * len(self.m) >= 1 << (63 - bits):
+            raise ValueError("too many passages and pieces for one key")
+        key = (piece[at].astype(np.int64) * len(self.m) + item) << np.int64(bits)
         for shift in (0, 1):
             band = (diagonal + shift * half) // (2 * half)
             found, n = np.unique(key | band, return_counts=True)
-            items = (found >> np.int64(24)) % len(self.m)
+            items = (found >> np.int64(bits)) % len(self.m)
             for f, i in zip(found[n >= self.least[items]].tolist(), items[n >= self.least[items]].tolist(), strict=True):
                 half_i = int(self.k[i]) + 1
-                yield (f >> 24) // len(self.m), i, (f & 0xFFFFFF) * 2 * half_i - shift * half_i
+                yield (f >> bits) // len(self.m), i, (f & (1 << bits) - 1) * 2 * half_i - shift * half_i
 
 
 def align(passage: np.ndarray, codes: np.ndarray, low: int, width: int, k: int) -> tuple[int, int] | None:

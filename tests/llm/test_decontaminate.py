@@ -79,3 +79,15 @@ def test_passages_without_an_id_are_found_by_the_queries(spark, make, tmp_path):
     found = sorted((r.doc_id, r.item_id is None, r.n_chars) for r in D.op3_decontaminate(spark, str(tmp_path)).collect())
     assert found == [(1, True, 23), (1, True, 28), (3, True, 2)]
     assert [r.doc_id for r in corpus_pipeline.remove_benchmark(spark, docs, str(tmp_path)).collect()] == [2]
+
+
+def test_bands_of_a_passage_beyond_24_bits_of_diagonals():
+    """The key's field for a band grows with the longest passage."""
+    index = D.Index([(1, "a needle of some length in here"), (2, "x" * 40)], 0.1)
+    index.longest = 1 << 26
+    text = "before it a needle of some length in here and after"
+    codes = D._codes(text)
+    found = {i for _, i, _ in index.bands(codes, D.np.zeros(len(codes), D.np.int32))}
+    assert found == {0}
+    places = [low - index.longest for _, i, low in index.bands(codes, D.np.zeros(len(codes), D.np.int32))]
+    assert all(abs(p - 10) <= 4 * (int(index.k[0]) + 1) for p in places)
