@@ -254,7 +254,9 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str, decoded: bool = False
 
 
 def decode(encoded: DataFrame, vocabulary: str, pattern: str) -> DataFrame:
-    """encoded with one more column, decoded: the bytes of its ids (binary)."""
+    """encoded with one more column, decoded: the bytes of its ids (binary),
+    in place of a column of that name."""
+    kept = [c for c in encoded.columns if c != "decoded"]
     data = _vocabulary(encoded, vocabulary)
 
     def rows(batches):
@@ -263,9 +265,9 @@ def decode(encoded: DataFrame, vocabulary: str, pattern: str) -> DataFrame:
             for at in range(0, whole.num_rows, _ROWS):
                 batch = whole.slice(at, _ROWS)
                 out = [None if x is None else e.decode(x) for x in batch.column("ids").to_pylist()]
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], [*batch.schema.names, "decoded"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(out, pa.binary())], [*kept, "decoded"])
 
-    return encoded.mapInArrow(rows, StructType([*encoded.schema.fields, StructField("decoded", BinaryType())]))
+    return encoded.mapInArrow(rows, StructType([*(f for f in encoded.schema.fields if f.name in kept), StructField("decoded", BinaryType())]))
 
 
 def digests(docs: DataFrame) -> DataFrame:

@@ -240,8 +240,10 @@ def keep_one(docs: DataFrame, shingle: int = SHINGLE, similarity: float | None =
     ws = Workspace(docs.sparkSession, "simhash-keep")
     found = components(docs, shingle, similarity).groupBy("component", key.alias("key")).agg(F.count("*").alias("n")).groupBy("component").agg(F.min_by(F.struct("key", "n"), "key").alias("kept"))
     keep = ws.write(found.select(F.col("kept.key.doc_id").alias("_doc"), F.col("kept.key.th").alias("_th"), F.col("kept.n").alias("n")), "kept")
-    doc, th = F.col("doc_id").cast("long"), F.xxhash64(F.col("text").cast("string"))
-    rows = docs.join(keep, doc.eqNullSafe(F.col("_doc")) & (th == F.col("_th")), "left_semi")
+    # The row as one struct, so that no column of docs can clash.
+    rows = docs.select(F.struct("*").alias("row"))
+    doc, th = F.col("row.doc_id").cast("long"), F.xxhash64(F.col("row.text").cast("string"))
+    rows = rows.join(keep, doc.eqNullSafe(F.col("_doc")) & (th == F.col("_th")), "left_semi").select("row.*")
     if keep.where("n > 1").isEmpty():
         return rows
     return rows.dropDuplicates(["doc_id", "text"])

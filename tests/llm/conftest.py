@@ -2,12 +2,12 @@ import random
 
 import pytest
 
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, th long, fp long, score double, row string, decoded binary, start int"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, th long, fp long, score double, row string, decoded binary, start int, _doc long, _th long, _page long"
 
 
 def frame(spark, rows):
     """Documents with columns whose names the operators use themselves."""
-    return spark.createDataFrame([(i, t, lang, "s", len(t or ""), 1, 2, 0.5, "r", b"d", 3) for i, t, lang in rows], SCHEMA)
+    return spark.createDataFrame([(i, t, lang, "s", len(t or ""), 1, 2, 0.5, "r", b"d", 3, 4, 5, 6) for i, t, lang in rows], SCHEMA)
 
 
 @pytest.fixture
