@@ -52,7 +52,15 @@ TEMPLATES: list[tuple[str, str]] = [
     ("mit", f"permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions the above copyright notice and this permission notice <<beginOptional>>including the next paragraph<<endOptional>> shall be included in all copies or substantial portions of the software {_DISCLAIMER}"),
     ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies"),
     ("bsd", 'redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met <<beginOptional>>1<<endOptional>> redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer <<beginOptional>>2<<endOptional>> redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution <<beginOptional>>3 neither the name of <<var;match=".{1,16}">> nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission<<endOptional>>'),
-    ("unlicense", "this is free and unencumbered software released into the public domain"),
+    ("unlicense", "this is free and unencumbered software released into the public domain <<beginOptional>>anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means<<endOptional>>"),
+    ("zlib", "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions"),
+    ("bsl-1.0", "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license the software to use reproduce display distribute execute and transmit the software and to prepare derivative works of the software and to permit third parties to whom the software is furnished to do so all subject to the following"),
+    ("apache-2.0", "you may not use this file except in compliance with the license you may obtain a copy of the license at <<beginOptional>>http<<endOptional>> <<beginOptional>>https<<endOptional>> <<beginOptional>>www<<endOptional>> apache org licenses license 2 0 unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied see the license for the specific language governing permissions and limitations under the license"),
+    ("gpl", 'this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation <<var;match=".{1,20}">> this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose see the gnu general public license for more details'),
+    ("lgpl", 'this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation <<var;match=".{1,20}">> this library is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose see the gnu lesser general public license for more details'),
+    ("mpl-2.0", "this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file you can obtain one at <<beginOptional>>http<<endOptional>> <<beginOptional>>https<<endOptional>> <<beginOptional>>www<<endOptional>> mozilla org mpl 2 0"),
+    ("bsd", 'this software is provided by <<var;match=".{1,16}">> as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed in no event shall <<var;match=".{1,16}">> be liable for any direct indirect incidental special exemplary or consequential damages'),
+    ("cc0-1.0", "to the extent possible under law <<var;match=\".{1,12}\">> has waived all copyright and related or neighboring rights to <<var;match=\".{1,12}\">>"),
 ]
 
 _WORD, _GAP = rb"[0-9a-z\x80-\xff]+", rb"[^0-9a-z\x80-\xff]+"
@@ -181,20 +189,34 @@ class Scanner:
         is_word = _IS_WORD[np.frombuffer(data, np.uint8)]
         starts = is_word.copy()
         starts[1:] &= ~is_word[:-1]
-        n_words = int(np.count_nonzero(starts))
-        places, found = [], []
+        before = np.cumsum(starts)  # words that begin up to each byte
+        n_words = int(before[-1]) if len(before) else 0
+        places: list[tuple[int, tuple]] = []
+        found = []
         if any(x in data for x in self.rare):
-            places = [(int(np.count_nonzero(starts[: m.start()])), self.phrases[tuple(_WORDS.findall(m[1]))]) for m in self.base.finditer(data)]
+            places = [(int(before[m.start()]) - 1, tuple(_WORDS.findall(m[1]))) for m in self.base.finditer(data)]
         if any(x in data for x in self.signs):
             found = self.automaton.matches(_WORDS.findall(data))
         at = [p for p, _ in places]
-        base = {label for _, label in places}
+        base = {self.phrases[phrase] for _, phrase in places}
         labels = base | {label for label, _, _ in found}
         spans = sorted({f"{label}:{a}-{b}" for label, a, b in found})
-        score = 1.0 if found else 0.5 if places else 0.0
+        inside = np.zeros(n_words + 1, np.int64)
+        for a, b in [(a, b) for _, a, b in found] + [(p, p + len(phrase)) for p, phrase in places]:
+            inside[a] += 1
+            inside[b] -= 1
+        score = float((np.cumsum(inside)[:-1] > 0).mean()) if found or places else 0.0
         return n_words, len(places), min(at, default=None), max(at, default=None), ",".join(sorted(base)), ",".join(sorted(labels)), score, spans
 
 
+def read_templates(spark: SparkSession, path: str) -> list[tuple[str, str]]:
+    """Templates of a folder of text files with markup, such as whole license
+    texts, labelled by their file names without endings. They go with the
+    code to all executors, so they have to be some thousands at most."""
+    files = spark.read.option("wholetext", "true").text(path).select(F.regexp_extract(F.col("_metadata.file_name"), r"^(.*?)(?:\.template)?(?:\.txt)?$", 1), "value")
+    return sorted((label.lower(), text) for label, text in files.toLocalIterator())
+
+
 _SCANNERS: dict[int, Scanner] = {}
 
 
@@ -204,8 +226,8 @@ def scan(docs: DataFrame, base: dict[str, str] | None = None, templates: list[tu
     Columns: doc_id; n_words; n_base, places of base phrases; first_word and
     last_word, their smallest and largest start counted in words (null without
     any); base_labels and labels, distinct, sorted and comma-joined, the
-    latter with the templates' labels too; score, 1 if a template accepts some
-    text, 0.5 with base phrases only and 0 otherwise; spans, array of
+    latter with the templates' labels too; score, the share of the text's
+    words that a template accepts or a base phrase covers; spans, array of
     label:start-end in words for each template match. A null text counts as
     empty. A template may accept text at several places and inside a longer
     one; all are in spans.
