@@ -52,13 +52,18 @@ class Workspace:
     """A new folder of one operator run below the shared folder.
 
     Tables written here survive lost executors and are read back with fresh
-    statistics. They stay until the application removes the folder, since the
-    returned DataFrames read them lazily.
+    statistics. Those that nothing reads any more are dropped by the operator;
+    the others stay as long as the application, since the returned DataFrames
+    read them lazily, and go when it ends.
     """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.path = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         self._n = 0
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path)
+        files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        files.mkdirs(path)
+        files.deleteOnExit(path)
 
     def write(self, df: DataFrame, name: str, *partition_by: str) -> DataFrame:
         self._n += 1
