@@ -1,28 +1,37 @@
-"""Language-model scoring: a bigram model with Katz backoff.
+"""Language-model scoring: n-grams with Katz backoff, of order ORDER.
 
 Counts are discounted by Good-Turing, with the largest k up to MAX_K for which
 all discounts are sound; backoff weights are exactly normalised over the
-vocabulary and one unknown word. With counts c, discounts d and a history h of
-total T(h),
+vocabulary and one unknown word. An n-gram is known if it occurs in training
+LEAST[n - 1] times or more. With counts c, discounts d and a history h of total
+T(h), which is h's own count,
 
     P(w)   = d c(w) / N               if w is known, the rest of 1 if unknown
-    P(w|h) = d c(h,w) / T(h)          if the bigram is known
-           = a(h) P(w)                otherwise, a(h) = 1 if h is unknown
-    a(h)   = (1 - sum P(w|h)) / (1 - sum P(w)), over w known after h.
-
-Where discounting leaves no mass (no count up to k), one is added to N or T(h),
-so that every word keeps a probability. A text's first word has the end token
-as its history.
+    P(w|h) = d c(h,w) / T(h)          if the n-gram is known
+           = a(h) P(w|h')             otherwise, h' being h without its first
+                                      word and a(h) = 1 if nothing known
+                                      follows h
+    a(h)   = (1 - sum P(w|h)) / (1 - sum P(w|h')), over w known after h.
+
+Where discounting leaves no mass (all after h is known and no count up to k),
+one is added to N or T(h), so that every word keeps a probability. A text's
+first word has the end token as its history, its second word the end token and
+the first, and so on. All n-grams of the training texts are counted, those too
+rare to be known too: they make the numbers of counts that discounts rest on,
+and the mass that is left for backing off.
 
 Execution. Texts are tokenised once into written batches of about BATCH tokens
-with the batch's own word numbers and 64-bit word hashes. Words and bigrams
-are known elsewhere by 64-bit hashes only. For each kind of count, a batch
+with the batch's own word numbers and 64-bit word hashes. Words and n-grams
+are known elsewhere by 64-bit hashes only. For each order, a batch
 sends its distinct keys with their training counts, packed, to the partitions
 of a table dealt by key; a partition adds up, stores its share of the model
 and replies with the totals in the order asked. So what travels is a batch's
-distinct keys, a very frequent word or bigram is one entry of a batch, and
-nothing grows with a key's frequency. Every known bigram has one owner batch,
-which alone adds it to its history's sums for the backoff weight. Key
+distinct keys, a very frequent word or n-gram is one entry of a batch, and
+nothing grows with a key's frequency. Every known n-gram has one owner batch,
+which alone adds it to its history's sums for the backoff weight. Weights come
+order by order: those of an order need the probabilities of the one below.
+Tables of keys are asked, and batches answered, in ROUNDS shares of the keys
+or batches, which bounds what is exchanged at a time. Key
 collisions are expected at n^2 / 2^65 of n distinct keys.
 """
 
@@ -38,8 +47,12 @@ from xxhash import xxh64_intdigest
 
 from .common import Workspace, read_table, ship_code
 
+ORDER = 3
+#: Least training count of a known n-gram of each order, the last one's of all beyond.
+LEAST = (1, 1, 2)
 MAX_K = 5
 BATCH = 1 << 20
+ROUNDS = 2
 #: Keys asked for in one partition of a table, at most about.
 PART = 1 << 21
 _END = xxh64_intdigest(b"\n")  # no word holds white space
@@ -133,37 +146,79 @@ def _batches(rows):
 _BATCH_SCHEMA = "batch long, n_words long, n_tokens long, words binary, tokens binary, sizes binary, ids array<long>, train binary"
 
 
+class _Grams:
+    """The n-grams of a batch: distinct keys in order; for each token that
+    ends one its key's place, else -1; and for each key the places of its
+    history and of itself without its first word, among the next lower ones."""
+
+    def __init__(self, keys, place, history=None, lower=None):
+        self.keys, self.place, self.history, self.lower = keys, place, history, lower
+
+
 class _Batch:
     def __init__(self, row: dict):
         self.id, self.ids = row["batch"], row["ids"]
         self.words, place = np.unique(_unpack_keys(row["words"]), return_inverse=True)
-        self.w, sizes, train = place[_unpack(row["tokens"], np.uint32)], _unpack(row["sizes"], np.int64), _unpack(row["train"], np.uint8).astype(bool)
-        self.ends = np.cumsum(sizes)
-        self.doc = np.repeat(np.arange(len(sizes)), sizes)
+        self.w, self.sizes, train = place[_unpack(row["tokens"], np.uint32)], _unpack(row["sizes"], np.int64), _unpack(row["train"], np.uint8).astype(bool)
+        self.ends = np.cumsum(self.sizes)
+        self.starts = self.ends - self.sizes
+        self.doc = np.repeat(np.arange(len(self.sizes)), self.sizes)
         self.train, self.in_train = train, train[self.doc]
-        self.h = np.empty_like(self.w)
-        self.h[1:] = self.w[:-1]
-        self.h[self.ends - sizes] = np.searchsorted(self.words, np.uint64(_END))
-
-    def unigrams(self) -> tuple[np.ndarray, np.ndarray]:
-        return self.words, np.bincount(self.w[self.in_train], minlength=len(self.words))
-
-    def bigrams(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Distinct keys, training counts, one token with each, keys' places."""
-        keys, first, place = np.unique(_mix(self.words[self.h], self.words[self.w]), return_index=True, return_inverse=True)
-        return keys, np.bincount(place[self.in_train], minlength=len(keys)), first, place
+        self._grams = {1: _Grams(self.words, self.w)}
+
+    def tokens(self, n: int) -> np.ndarray:
+        """The tokens that end an n-gram: the (n-1)-th of a text and later ones."""
+        return np.flatnonzero(np.arange(len(self.w)) - self.starts[self.doc] >= n - 2) if n > 2 else np.arange(len(self.w))
+
+    def token_keys(self, n: int) -> np.ndarray:
+        """The key of the n-gram that ends at each token; of no meaning where none does."""
+        words = self.words[self.w]
+        keys = words
+        for m in range(2, n + 1):
+            before = np.empty_like(keys)
+            before[1:] = keys[:-1]
+            if m == 2:
+                before[self.starts] = _END
+            else:
+                before[0] = 0
+            keys = _mix(before, words)
+        return keys
+
+    def grams(self, n: int) -> _Grams:
+        if n not in self._grams:
+            below, at = self.grams(n - 1), self.tokens(n)
+            before = np.empty_like(below.place)
+            before[1:] = below.place[:-1]
+            if n == 2:
+                before[self.starts] = np.searchsorted(self.words, np.uint64(_END))
+            keys, first, inverse = np.unique(self.token_keys(n)[at], return_index=True, return_inverse=True)
+            place = np.full(len(self.w), -1, np.int64)
+            place[at] = inverse
+            self._grams[n] = _Grams(keys, place, before[at[first]], below.place[at[first]])
+        return self._grams[n]
+
+    def counts(self, n: int, low: int, high: int) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct keys from low and below high, with their training counts."""
+        at = self.tokens(n)
+        keys = self.token_keys(n)[at]
+        some = keys >= np.uint64(low)
+        if high < 1 << 64:
+            some &= keys < np.uint64(high)
+        found, inverse = np.unique(keys[some], return_inverse=True)
+        return found, np.bincount(inverse[self.in_train[at][some]], minlength=len(found))
 
 
 _ASK = "part int, batch long, keys binary, counts binary"
 
 
-def _asking(kind: str, parts: int):
+def _asking(n: int, parts: int, first: int, stop: int):
+    """Of so many parts of all keys, those from first and before stop."""
+
     def rows(batches):
         for batch in batches:
             for row in batch.to_pylist():
-                keys, counts = getattr(_Batch(row), kind)()[:2]
-                cuts = list(pairwise(_cuts(keys, parts)))
-                some = [(p, a, b) for p, (a, b) in enumerate(cuts) if a < b]
+                keys, counts = _Batch(row).counts(n, -(-(first << 64) // parts), -(-(stop << 64) // parts))
+                some = [(p, a, b) for p, (a, b) in enumerate(pairwise(_cuts(keys, parts))) if a < b]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([p for p, *_ in some], pa.int32()), pa.array([row["batch"]] * len(some), pa.int64()), pa.array([_pack_keys(keys[a:b]) for _, a, b in some], pa.binary()), pa.array([_pack(counts[a:b]) for _, a, b in some], pa.binary())],
                     ["part", "batch", "keys", "counts"],
@@ -183,22 +238,25 @@ def _gathered(table: pa.Table) -> tuple[list[dict], list[np.ndarray], np.ndarray
     return rows, each, keys, place
 
 
-def _add_up(table: pa.Table) -> pa.Table:
-    """One partition's totals, and a reply to each batch that asked: twice the
-    totals in its order, and one more where the batch owns the key."""
-    rows, each, keys, place = _gathered(table)
-    counts = np.concatenate([_unpack(r["counts"], np.int64) for r in rows])
-    totals = np.bincount(place, counts, len(keys)).astype(np.int64)
-    counted = np.flatnonzero(counts)
-    owned, at = np.unique(place[counted], return_index=True)
-    told = 2 * totals[place]
-    told[counted[at]] += 1
-    replies = np.split(told, np.cumsum([len(k) for k in each])[:-1])
-    seen = np.bincount(totals[totals <= MAX_K + 1], minlength=MAX_K + 2)[1:]
-    part, known = rows[0]["part"], totals > 0
-    out = [{"kind": "model", "part": part, "keys": _pack_keys(keys[known]), "totals": _pack(totals[known]), "types": int(known.sum()), "tokens": int(totals.sum()), "seen": seen.tolist()}]
-    out += [{"kind": "reply", "part": part, "batch": r["batch"], "totals": _pack(x)} for r, x in zip(rows, replies, strict=True)]
-    return pa.Table.from_pylist(out, _arrow("totals"))
+def _adding_up(least: int):
+    def add_up(table: pa.Table) -> pa.Table:
+        """One partition's totals, and a reply to each batch that asked: twice
+        the totals in its order, and one more where the batch owns the key."""
+        rows, each, keys, place = _gathered(table)
+        counts = np.concatenate([_unpack(r["counts"], np.int64) for r in rows])
+        totals = np.bincount(place, counts, len(keys)).astype(np.int64)
+        counted = np.flatnonzero(counts)
+        _, at = np.unique(place[counted], return_index=True)
+        told = 2 * totals[place]
+        told[counted[at]] += 1
+        replies = np.split(told, np.cumsum([len(k) for k in each])[:-1])
+        seen = np.bincount(totals[totals <= MAX_K + 1], minlength=MAX_K + 2)[1:]
+        part, known = rows[0]["part"], totals >= least
+        out = [{"kind": "model", "part": part, "keys": _pack_keys(keys[known]), "totals": _pack(totals[known]), "types": int(known.sum()), "tokens": int(totals.sum()), "seen": seen.tolist()}]
+        out += [{"kind": "reply", "part": part, "batch": r["batch"], "totals": _pack(x)} for r, x in zip(rows, replies, strict=True)]
+        return pa.Table.from_pylist(out, _arrow("totals"))
+
+    return add_up
 
 
 _KINDS = {"string": pa.string(), "int": pa.int32(), "long": pa.int64(), "double": pa.float64(), "binary": pa.binary(), "boolean": pa.bool_(), "array<long>": pa.list_(pa.int64())}
@@ -211,10 +269,10 @@ def _arrow(name: str) -> pa.Schema:
 
 class Discounts:
     """Good-Turing discounts from the numbers of types seen 1 to MAX_K + 1
-    times: d[c] for counts up to k, 1 above it."""
+    times: d[c] for counts up to k, 1 above it; counts below least keep nothing."""
 
-    def __init__(self, seen: list[int]):
-        self.k, self.d = 0, np.ones(1)
+    def __init__(self, seen: list[int], least: int = 1):
+        self.k, self.d, self.least = 0, np.ones(1), least
         for k in range(min(MAX_K, len(seen) - 1), 0, -1):
             if not all(seen[:k]):
                 continue
@@ -228,14 +286,15 @@ class Discounts:
 
     def __call__(self, counts: np.ndarray) -> np.ndarray:
         """Discounted counts."""
-        return counts * np.where(counts <= self.k, self.d[np.minimum(counts, self.k)], 1.0)
+        kept = counts * np.where(counts <= self.k, self.d[np.minimum(counts, self.k)], 1.0)
+        return np.where(counts >= self.least, kept, 0.0)
 
 
 class Stats:
     """What all partitions of a table add up to."""
 
-    def __init__(self, types: int, tokens: int, seen: list[int]):
-        self.types, self.tokens, self.discount = types, tokens, Discounts(seen)
+    def __init__(self, types: int, tokens: int, seen: list[int], least: int = 1):
+        self.types, self.tokens, self.least, self.discount = types, tokens, least, Discounts(seen, least)
         self.k = self.discount.k
         # Types up to k each lose a part of their mass; without any, one is added.
         small = sum(seen[: self.k])
@@ -244,78 +303,152 @@ class Stats:
         self.unknown = 1 - kept / self.total if tokens else 1.0
 
     def probability(self, counts: np.ndarray) -> np.ndarray:
+        """Of single words."""
         return np.where(counts > 0, self.discount(counts) / self.total, self.unknown)
 
 
-_PARTIAL = "kind string, part int, batch long, keys binary, left binary, after binary, small binary, totals binary, wanted binary, ids array<long>, train binary, sizes binary, known binary, base binary, score binary, doc binary, history binary, fixed_doc binary, fixed_history binary"
+_REPLIES = ["batch", "part", "of", "totals", "weights", "full"]
+
+
+class _Scoring:
+    """A batch with the replies of all orders up to n, and the weights of all
+    orders below it."""
+
+    def __init__(self, row: dict, replies: list[dict], stats: list[Stats], n: int):
+        self.b, self.n, self.stats = _Batch(row), n, stats
+        by: dict[str, list[dict]] = {}
+        for r in sorted(replies, key=lambda r: r["part"]):
+            by.setdefault(r["of"], []).append(r)
+
+        def joined(of: str, column: str, kind) -> np.ndarray:
+            return np.concatenate([np.zeros(0, kind), *(_unpack(r[column], kind) for r in by.get(of, ()))])
+
+        told = [joined(f"totals{m}", "totals", np.int64) for m in range(1, n + 1)]
+        self.totals, self.own = [t >> 1 for t in told], [t & 1 == 1 for t in told]
+        self.kept = [s.discount(t) for s, t in zip(stats, self.totals, strict=False)]
+        self.p = stats[0].probability(self.totals[0])
+        #: By order from 2: log weights of histories, and what to add to their totals.
+        self.weight, self.more = [], []
+        for m in range(2, n):
+            at = np.flatnonzero(self.wanted(m))
+            weight, more = np.zeros(len(self.totals[m - 2])), np.zeros(len(self.totals[m - 2]))
+            weight[at], more[at] = joined(f"weights{m}", "weights", np.float64), joined(f"weights{m}", "full", np.uint8)
+            self.weight.append(weight)
+            self.more.append(more)
+
+    def known(self, m: int) -> np.ndarray:
+        return self.totals[m - 1] >= self.stats[m - 1].least
+
+    def unknown_tokens(self, m: int) -> np.ndarray:
+        """Tokens whose m-gram is unknown though something may be known after its history."""
+        g = self.b.grams(m)
+        at = np.flatnonzero(g.place >= 0)
+        key = g.place[at]
+        return at[~self.known(m)[key] & (self.totals[m - 2][g.history[key]] >= self.stats[m - 1].least)]
+
+    def maybe_full(self, m: int) -> np.ndarray:
+        """Histories of which no small count is seen here: only they can be
+        without any at all."""
+        g, total = self.b.grams(m), self.totals[m - 1]
+        least = np.full(len(self.totals[m - 2]), np.iinfo(np.int64).max)
+        np.minimum.at(least, g.history[total > 0], total[total > 0])
+        return (least > self.stats[m - 1].k) & (least < np.iinfo(np.int64).max)
+
+    def wanted(self, m: int) -> np.ndarray:
+        """Histories whose weights are asked for."""
+        g, out = self.b.grams(m), self.maybe_full(m)
+        out[g.history[g.place[self.unknown_tokens(m)]]] = True
+        return out
+
+    def probability(self, m: int) -> np.ndarray:
+        """P of each known m-gram; of no meaning for others."""
+        if m == 1:
+            return self.p
+        history = self.b.grams(m).history
+        return self.kept[m - 1] / np.maximum(self.totals[m - 2] + self.more[m - 2], 1)[history]
+
+    def asks(self, parts: int) -> list[dict]:
+        """What this batch's own n-grams add to the sums of their histories,
+        and the histories whose weights it wants."""
+        n, g = self.n, self.b.grams(self.n)
+        mine, size = self.own[n - 1] & self.known(n), len(self.totals[n - 2])
+        left = np.bincount(g.history[mine], self.kept[n - 1][mine], size)
+        after = np.bincount(g.history[mine], self.probability(n - 1)[g.lower[mine]], size)
+        wanted = self.wanted(n)
+        at = np.flatnonzero(wanted | (left > 0))
+        keys, out = self.b.grams(n - 1).keys[at], []
+        for part, (i, j) in enumerate(pairwise(_cuts(keys, parts))):
+            if i < j:
+                s = at[i:j]
+                out.append({"kind": "weights", "part": part, "batch": self.b.id, "keys": _pack_keys(keys[i:j]), "left": _pack(left[s]), "after": _pack(after[s]), "totals": _pack(self.totals[n - 2][s]), "wanted": _pack(wanted[s].astype(np.uint8))})
+        return out
+
+    def scores(self) -> dict:
+        """Scores of the texts but for weights of the highest order: which
+        they want for whom."""
+        b, n, docs = self.b, self.n, len(self.b.ids)
+        log = np.log10(self.p)[b.w]
+        log_of = lambda x: np.log10(np.maximum(x, np.finfo(float).tiny))
+        last = {}
+        for m in range(2, n + 1):
+            g = b.grams(m)
+            at = np.flatnonzero(g.place >= 0)
+            key = g.place[at]
+            known, history = self.known(m)[key], g.history[key]
+            back = self.unknown_tokens(m)
+            if m < n:
+                log[back] += self.weight[m - 2][g.history[g.place[back]]]
+                total = self.totals[m - 2] + self.more[m - 2]
+            else:
+                total = self.totals[m - 2]
+                index = np.cumsum(self.wanted(m)) - 1
+                fixed = at[known & self.maybe_full(m)[history]]
+                last = {"doc": _pack(b.doc[back].astype(np.int32)), "history": _pack(index[g.history[g.place[back]]].astype(np.int32)), "fixed_doc": _pack(b.doc[fixed].astype(np.int32)), "fixed_history": _pack(index[g.history[g.place[fixed]]].astype(np.int32)), "fixed_total": _pack(total[g.history[g.place[fixed]]])}
+            log[at[known]] = (log_of(self.kept[m - 1])[key] - log_of(total)[history])[known]
+        total = self.totals[0]
+        base = np.bincount(b.doc, np.log10((total + 1) / (self.stats[0].tokens + self.stats[0].types + 1))[b.w], docs)
+        known = np.bincount(b.doc[total[b.w] > 0], minlength=docs)
+        return {"kind": "scores", "batch": b.id, "ids": b.ids, "train": _pack(b.train.astype(np.uint8)), "sizes": _pack(b.sizes), "known": _pack(known), "base": _pack(base), "score": _pack(np.bincount(b.doc, log, docs)), **last}
+
 
+_PARTIAL = "kind string, part int, batch long, keys binary, left binary, after binary, totals binary, wanted binary, ids array<long>, train binary, sizes binary, known binary, base binary, score binary, doc binary, history binary, fixed_doc binary, fixed_history binary, fixed_total binary"
 
-def _score_batch(uni: Stats, bi: Stats, parts: int):
-    """Scores of a batch but for backoff weights, and what it adds to them."""
+
+def _answering(stats: list[Stats], n: int, parts: int, last: bool):
+    """What a batch asks of the weights of order n, and for the last order
+    its scores but for those weights."""
 
     def one(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows:
             return _arrow("partial").empty_table()
-        b = _Batch(left.to_pylist()[0])
-        replies = {kind: np.concatenate([_unpack(r["totals"], np.int64) for r in sorted((r for r in right.to_pylist() if r["of"] == kind), key=lambda r: r["part"])]) for kind in ("unigram", "bigram")}
-        words, docs = len(b.words), len(b.ids)
-        total = replies["unigram"] >> 1
-        p = uni.probability(total)
-        keys, _, first, place = b.bigrams()
-        found = replies["bigram"] >> 1
-        kept = bi.discount(found)
-        h, w = b.h[first], b.w[first]
-        own = replies["bigram"] & 1 == 1
-        after, rest = np.bincount(h[own], kept[own], words), np.bincount(h[own], p[w[own]], words)
-        small = np.bincount(h[own & (found <= bi.k)], minlength=words)
-        with np.errstate(divide="ignore"):
-            log_known, log_p = np.log10(kept) - np.log10(np.maximum(total, 1))[h], np.log10(p)
-        seen = found[place] > 0
-        score = np.bincount(b.doc, np.where(seen, log_known[place], log_p[b.w]), docs)
-        base = np.bincount(b.doc, np.log10((total + 1) / (uni.tokens + uni.types + 1))[b.w], docs)
-        known = np.bincount(b.doc[total[b.w] > 0], minlength=docs)
-        # Backoff weights are needed for unseen pairs of a known history. A
-        # history may turn out to have no small count; then one is added to
-        # its total. That can only be so if none is small here.
-        back = ~seen & (total[b.h] > 0)
-        least = np.full(words, np.iinfo(np.int64).max)
-        np.minimum.at(least, h[found > 0], found[found > 0])
-        fixed = seen & (least > bi.k)[b.h]
-        wanted = np.zeros(words, bool)
-        wanted[b.h[back | fixed]] = True
-        send = wanted | (np.bincount(h[own], minlength=words) > 0)
-        at, index = np.flatnonzero(send), np.cumsum(wanted) - 1
-        out = [{"kind": "scores", "batch": b.id, "ids": b.ids, "train": _pack(b.train.astype(np.uint8)), "sizes": _pack(np.diff(b.ends, prepend=0)), "known": _pack(known), "base": _pack(base), "score": _pack(score), "doc": _pack(b.doc[back].astype(np.int32)), "history": _pack(index[b.h[back]].astype(np.int32)), "fixed_doc": _pack(b.doc[fixed].astype(np.int32)), "fixed_history": _pack(index[b.h[fixed]].astype(np.int32))}]
-        for part, (i, j) in enumerate(pairwise(_cuts(b.words[at], parts))):
-            if i < j:
-                s = at[i:j]
-                out.append({"kind": "weights", "part": part, "batch": b.id, "keys": _pack_keys(b.words[s]), "left": _pack(after[s]), "after": _pack(rest[s]), "small": _pack(small[s]), "totals": _pack(total[s]), "wanted": _pack(wanted[s].astype(np.uint8))})
-        return pa.Table.from_pylist(out, _arrow("partial"))
+        scoring = _Scoring(left.to_pylist()[0], right.to_pylist(), stats, n)
+        out = scoring.asks(parts)
+        return pa.Table.from_pylist(out + [scoring.scores()] * last, _arrow("partial"))
 
     return one
 
 
-_WEIGHTS = "kind string, part int, batch long, keys binary, weights binary, fixes binary"
+_WEIGHTS = "kind string, part int, batch long, keys binary, weights binary, full binary"
 
 
 def _weigh(table: pa.Table) -> pa.Table:
-    """Backoff weights of one partition's histories, as log10, and what to add
-    to the score of each known bigram of a history without small counts."""
+    """Backoff weights of one partition's histories, as log10, and whether
+    one is added to their totals."""
     rows, each, keys, place = _gathered(table)
-    add = lambda c, t: np.bincount(place, np.concatenate([_unpack(r[c], t) for r in rows]).astype(np.float64), len(keys))
-    mass, rest, small = add("left", np.float64), add("after", np.float64), add("small", np.int64)
+    add = lambda c: np.bincount(place, np.concatenate([_unpack(r[c], np.float64) for r in rows]), len(keys))
+    mass, rest = add("left"), add("after")
     total = np.zeros(len(keys))
     total[place] = np.concatenate([_unpack(r["totals"], np.int64) for r in rows])
-    full = small == 0
-    # kept mass is the total itself where nothing is discounted
+    # kept mass is the total itself where nothing is discounted or left out
+    full = (total > 0) & (total - mass <= 1e-9 * total)
     free = np.where(full, 1.0, np.maximum(total - mass, np.finfo(float).tiny)) / np.where(full, total + 1, np.maximum(total, 1))
     weights = np.where(total > 0, np.log10(free) - np.log10(np.maximum(1 - rest, np.finfo(float).tiny)), 0.0)
-    fixes = np.where(full & (total > 0), np.log10(np.maximum(total, 1)) - np.log10(total + 1), 0.0)
-    out, part = [{"kind": "model", "part": rows[0]["part"], "keys": _pack_keys(keys), "weights": _pack(weights)}], rows[0]["part"]
+    stored = mass > 0  # others have weight 1
+    out, part = [{"kind": "model", "part": rows[0]["part"], "keys": _pack_keys(keys[stored]), "weights": _pack(weights[stored]), "full": _pack(full[stored].astype(np.uint8))}], rows[0]["part"]
     for r, own in zip(rows, np.split(place, np.cumsum([len(k) for k in each])[:-1]), strict=True):
         own = own[_unpack(r["wanted"], np.uint8).astype(bool)]
         if len(own):
-            out.append({"kind": "reply", "part": part, "batch": r["batch"], "weights": _pack(weights[own]), "fixes": _pack(fixes[own])})
+            out.append({"kind": "reply", "part": part, "batch": r["batch"], "weights": _pack(weights[own]), "full": _pack(full[own].astype(np.uint8))})
     return pa.Table.from_pylist(out, _arrow("weights"))
 
 
@@ -327,17 +460,20 @@ def _finish(left: pa.Table, right: pa.Table) -> pa.Table:
         return _arrow("scores").empty_table()
     r = left.to_pylist()[0]
     replies = sorted(right.to_pylist(), key=lambda x: x["part"])
-    weights, fixes = (np.concatenate([np.zeros(0), *(_unpack(x[c], np.float64) for x in replies)]) for c in ("weights", "fixes"))
+    weights = np.concatenate([np.zeros(0), *(_unpack(x["weights"], np.float64) for x in replies)])
+    full = np.concatenate([np.zeros(0, np.uint8), *(_unpack(x["full"], np.uint8) for x in replies)])
     score = _unpack(r["score"], np.float64).copy()
-    for doc, history, of in (("doc", "history", weights), ("fixed_doc", "fixed_history", fixes)):
-        score += np.bincount(_unpack(r[doc], np.int32), of[_unpack(r[history], np.int32)], len(score))
+    score += np.bincount(_unpack(r["doc"], np.int32), weights[_unpack(r["history"], np.int32)], len(score))
+    total = _unpack(r["fixed_total"], np.int64)
+    fix = np.where(full[_unpack(r["fixed_history"], np.int32)] == 1, np.log10(np.maximum(total, 1)) - np.log10(total + 1), 0.0)
+    score += np.bincount(_unpack(r["fixed_doc"], np.int32), fix, len(score))
     return pa.Table.from_arrays([pa.array(r["ids"], pa.int64()), pa.array(_unpack(r["train"], np.uint8).astype(bool)), pa.array(_unpack(r["sizes"], np.int64)), pa.array(_unpack(r["known"], np.int64)), pa.array(_unpack(r["base"], np.float64)), pa.array(score)], schema=_arrow("scores"))
 
 
-def _stats(table: DataFrame) -> Stats:
+def _stats(table: DataFrame, least: int) -> Stats:
     seen = [F.coalesce(F.sum(F.col("seen")[i]), F.lit(0)).alias(f"s{i}") for i in range(MAX_K + 1)]
     r = table.where("kind = 'model'").agg(F.coalesce(F.sum("types"), F.lit(0)).alias("types"), F.coalesce(F.sum("tokens"), F.lit(0)).alias("tokens"), *seen).first()
-    return Stats(r["types"], r["tokens"], [r[f"s{i}"] for i in range(MAX_K + 1)])
+    return Stats(r["types"], r["tokens"], [r[f"s{i}"] for i in range(MAX_K + 1)], least)
 
 
 def _parts(spark: SparkSession, keys: int) -> int:
@@ -346,14 +482,22 @@ def _parts(spark: SparkSession, keys: int) -> int:
 
 class Scored:
     """scores: one row a document. The model's tables, partitioned by ranges
-    of the 64-bit keys: unigrams and bigrams (part, keys, totals) and weights
-    (part, keys, weights), packed. uni and bi: their statistics."""
+    of the 64-bit keys: counts, by order from 1 (part, keys, totals), and
+    weights, by order from 2, of histories (part, keys, weights, full),
+    packed. stats: their statistics, by order."""
+
+    def __init__(self, scores: DataFrame, counts: list[DataFrame], weights: list[DataFrame], stats: list[Stats]):
+        self.scores, self.counts, self.weights, self.stats = scores, counts, weights, stats
+
 
-    def __init__(self, scores: DataFrame, unigrams: DataFrame, bigrams: DataFrame, weights: DataFrame, uni: Stats, bi: Stats):
-        self.scores, self.unigrams, self.bigrams, self.weights, self.uni, self.bi = scores, unigrams, bigrams, weights, uni, bi
+def _union(tables: list[DataFrame]) -> DataFrame:
+    out = tables[0]
+    for t in tables[1:]:
+        out = out.unionByName(t)
+    return out
 
 
-def score(docs: DataFrame, train: Column) -> Scored:
+def score(docs: DataFrame, train: Column, order: int = ORDER, least: tuple[int, ...] = LEAST) -> Scored:
     """Learn from the rows for which train holds and score all rows.
 
     docs has doc_id and text; a null text is empty and consists of the end
@@ -361,8 +505,11 @@ def score(docs: DataFrame, train: Column) -> Scored:
     occur in training), base_score (add-one unigrams) and score (the model's
     log10 probability of the text). Rows with equal or null doc_id are scored
     apart. With nothing to learn from every token is unknown and has
-    probability 1.
+    probability 1. order is 2 or more; least may not fall, and begins with 1.
     """
+    least = tuple(least[min(n, len(least) - 1)] for n in range(order))
+    if order < 2 or least[0] != 1 or list(least) != sorted(least):
+        raise ValueError("order or least counts out of range")
     spark = docs.sparkSession
     ship_code(spark)
     ws = Workspace(spark, "katz")
@@ -370,26 +517,44 @@ def score(docs: DataFrame, train: Column) -> Scored:
     batches = ws.write(rows.mapInArrow(_batches, _BATCH_SCHEMA), "batches")
     asked = batches.agg(F.coalesce(F.sum("n_words"), F.lit(0)), F.coalesce(F.sum("n_tokens"), F.lit(0))).first()
 
-    def table(kind: str, keys: int) -> DataFrame:
-        parts = _parts(spark, keys)
-        asks = batches.mapInArrow(_asking(kind, parts), _ASK)
-        return ws.write(asks.repartition(parts, "part").groupBy("part").applyInArrow(_add_up, _TOTALS), kind, "kind")
-
-    unigrams = table("unigrams", asked[0])
-    uni = _stats(unigrams)
-    bigrams = table("bigrams", asked[1])
-    bi = _stats(bigrams)
-    replies = unigrams.where("kind = 'reply'").select("batch", "part", "totals", F.lit("unigram").alias("of")).unionByName(bigrams.where("kind = 'reply'").select("batch", "part", "totals", F.lit("bigram").alias("of")))
-    parts = _parts(spark, asked[0])
-    partial = batches.groupBy("batch").cogroup(replies.groupBy("batch")).applyInArrow(_score_batch(uni, bi, parts), _PARTIAL)
-    partial = ws.write(partial, "partial", "kind")
-    sums = partial.where("kind = 'weights'").select("part", "batch", "keys", "left", "after", "small", "totals", "wanted")
-    weights = ws.write(sums.repartition(parts, "part").groupBy("part").applyInArrow(_weigh, _WEIGHTS), "weights", "kind")
-    state = partial.where("kind = 'scores'").select("batch", "ids", "train", "sizes", "known", "base", "score", "doc", "history", "fixed_doc", "fixed_history")
-    replies = weights.where("kind = 'reply'").select("batch", "part", "weights", "fixes")
-    scores = state.groupBy("batch").cogroup(replies.groupBy("batch")).applyInArrow(_finish, _SCORES)
-    models = (unigrams.where("kind = 'model'").select("part", "keys", "totals"), bigrams.where("kind = 'model'").select("part", "keys", "totals"), weights.where("kind = 'model'").select("part", "keys", "weights"))
-    return Scored(scores, *models, uni, bi)
+    def table(n: int) -> list[DataFrame]:
+        """All keys of order n, in rounds."""
+        parts = _parts(spark, asked[min(n, 2) - 1])
+        edges = [parts * i // (1 if n == 1 else ROUNDS) for i in range((1 if n == 1 else ROUNDS) + 1)]
+        done = []
+        for first, stop in pairwise(edges):
+            if first < stop:
+                asks = batches.mapInArrow(_asking(n, parts, first, stop), _ASK)
+                done.append(ws.write(asks.repartition(stop - first, "part").groupBy("part").applyInArrow(_adding_up(least[n - 1]), _TOTALS), f"counts{n}", "kind"))
+        return done
+
+    nothing = F.lit(None).cast("binary")
+    counts, replies, stats, weights = [], [], [], []
+    for n in range(1, order + 1):
+        found = table(n)
+        whole = _union(found)
+        stats.append(_stats(whole, least[n - 1]))
+        counts.append(whole.where("kind = 'model'").select("part", "keys", "totals"))
+        replies += [t.where("kind = 'reply'").select("batch", "part", F.lit(f"totals{n}").alias("of"), "totals", nothing.alias("weights"), nothing.alias("full")) for t in found]
+        if n == 1:
+            continue
+        parts, partial = _parts(spark, asked[min(n - 1, 2) - 1]), []
+        answers = _union(replies).select(*_REPLIES)
+        for i in range(ROUNDS):
+            mine = F.pmod("batch", F.lit(ROUNDS)) == i
+            both = batches.where(mine).groupBy("batch").cogroup(answers.where(mine).groupBy("batch"))
+            partial.append(ws.write(both.applyInArrow(_answering(stats, n, parts, n == order), _PARTIAL), f"asks{n}", "kind"))
+        asks = _union(partial).where("kind = 'weights'").select("part", "batch", "keys", "left", "after", "totals", "wanted")
+        made = ws.write(asks.repartition(parts, "part").groupBy("part").applyInArrow(_weigh, _WEIGHTS), f"weights{n}", "kind")
+        weights.append(made.where("kind = 'model'").select("part", "keys", "weights", "full"))
+        told = made.where("kind = 'reply'")
+        if n < order:
+            replies.append(told.select("batch", "part", F.lit(f"weights{n}").alias("of"), nothing.alias("totals"), "weights", "full"))
+            for t in partial:
+                ws.drop(t)
+    state = _union(partial).where("kind = 'scores'").select("batch", "ids", "train", "sizes", "known", "base", "score", "doc", "history", "fixed_doc", "fixed_history", "fixed_total")
+    scores = state.groupBy("batch").cogroup(told.select("batch", "part", "weights", "full").groupBy("batch")).applyInArrow(_finish, _SCORES)
+    return Scored(scores, counts, weights, stats)
 
 
 def held_out(doc_id: Column) -> Column:
@@ -398,4 +563,4 @@ def held_out(doc_id: Column) -> Column:
 
 def op6_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = score(read_table(spark, sf_dir, "documents"), ~held_out(F.col("doc_id")))
-    return found.scores.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", F.lit(found.uni.tokens).cast("long").alias("train_tokens"), "base_score", "score")
+    return found.scores.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", F.lit(found.stats[0].tokens).cast("long").alias("train_tokens"), "base_score", "score")
