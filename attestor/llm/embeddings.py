@@ -6,21 +6,26 @@ each vector. For two vectors,
 
     |u1.u2 - s1 s2 (q1.q2)| <= e1 + e2 + e1 e2,
 
-since |s q| <= 1 + e. Integer products of a tile pair are exact, and a pair
+since u1.u2 - s1 s2 (q1.q2) = u1.r2 + u2.r1 - r1.r2 and |u1| = |u2| = 1. Integer products of a tile pair are exact, and a pair
 whose scaled product lies below the threshold by more than that bound is
 certainly no link. All other pairs, and only they, are computed again in
 double precision from the vectors as given.
 
-Equal vectors are one class. Distinct vectors are dealt into tiles of at most
-about TILE by a hash; each pair of tiles is one group of two rows of packed
-bytes. A tile pair never emits its links: it returns, for each vector with
+Equal vectors are one class. Distinct vectors of a length are dealt into tiles
+of about TILE by a hash, and tiles into strips, of up to STRIP_BYTES or fewer
+if there would be too few pairs of strips for all cores. Each pair of strips is
+one group, in which every tile of one meets every tile of the other, so each
+vector is shipped once for a strip and not once for a tile. A group never emits
+its links: it returns, for each vector with
 links there, how many copies it links to, and edges that span the linked
-vectors, so that output stays linear in the vectors of the tiles even if all
-of them link.
+vectors, so that output stays linear in the vectors of the strips even if all
+of them link. Vectors of all lengths go in one job.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -30,7 +35,11 @@ from .common import Workspace, connected_components, read_table, ship_code
 
 THRESHOLD = 0.95
 TILE = 2048
-_STRIP = 512
+#: Packed bytes of the tiles of one strip, about; two strips are held at once.
+STRIP_BYTES = 32 << 20
+#: Pairs of strips for each core, where there are tiles enough.
+PAIRS_A_CORE = 3
+_ROWS = 512
 #: Above any rounding of the float64 bounds, norms and products used here.
 _SLACK = 1e-9
 
@@ -80,8 +89,8 @@ def tile_links(a: Tile, b: Tile, threshold: float) -> tuple[np.ndarray, np.ndarr
     top_error, top_scale = b.error.max(), b.scale.max()
     columns = b.q.astype(np.float32).T  # products of int8 in float32 are exact up to 1040 dimensions
     exact = b.q.shape[1] <= 1040
-    for at in range(0, len(a.ids), _STRIP):
-        rows = slice(at, at + _STRIP)
+    for at in range(0, len(a.ids), _ROWS):
+        rows = slice(at, at + _ROWS)
         dots = a.q[rows].astype(np.float32) @ columns if exact else a.q[rows].astype(np.float64) @ b.q.T.astype(np.float64)
         error = a.error[rows]
         floor = (threshold - error - top_error - error * top_error - _SLACK) / (a.scale[rows] * top_scale)
@@ -101,9 +110,8 @@ def tile_links(a: Tile, b: Tile, threshold: float) -> tuple[np.ndarray, np.ndarr
     return i[keep], j[keep]
 
 
-def _spanning(x: np.ndarray, y: np.ndarray) -> list[tuple[int, int]]:
-    """Edges of a spanning forest of the given ones."""
-    parent: dict[int, int] = {}
+def _spanning(parent: dict[int, int], x: np.ndarray, y: np.ndarray) -> list[tuple[int, int]]:
+    """Edges of a spanning forest of the given ones and those already in parent."""
 
     def find(v: int) -> int:
         while parent.setdefault(v, v) != v:
@@ -119,20 +127,31 @@ def _spanning(x: np.ndarray, y: np.ndarray) -> list[tuple[int, int]]:
     return kept
 
 
-def _pair(pdf: pd.DataFrame, threshold: float) -> pd.DataFrame:
-    tiles = [Tile(*(r[c] for c in ("ids", "copies", "given", "int8", "scales", "errors"))) for r in pdf.sort_values("tile").to_dict("records")]
-    own = bool(pdf["own"].iloc[0])
-    if not own and len(tiles) < 2:
-        return pd.DataFrame({"id": [], "n": [], "other": []}).astype({"id": "int64", "n": "int64", "other": "Int64"})
-    a, b = tiles[0], tiles[0 if own else 1]
-    i, j = tile_links(a, b, threshold)
-    if own:
-        i, j = i[i < j], j[i < j]
-    counts = [(a.ids, np.bincount(i, b.copies[j], len(a.ids))), (b.ids, np.bincount(j, a.copies[i], len(b.ids)))]
-    rows = [pd.DataFrame({"id": ids[n > 0], "n": n[n > 0].astype("int64")}) for ids, n in counts]
-    edges = _spanning(a.ids[i], b.ids[j])
-    rows.append(pd.DataFrame({"id": [x for x, _ in edges], "n": 0, "other": pd.array([y for _, y in edges], "Int64")}))
-    return pd.concat(rows).reindex(columns=["id", "n", "other"]).astype({"id": "int64", "n": "int64", "other": "Int64"})
+def _meet(pdf: pd.DataFrame, threshold: float) -> pd.DataFrame:
+    """All tiles of one strip with all of another, or of the same."""
+    rows = sorted(pdf.to_dict("records"), key=lambda r: r["tile"])
+    tiles = [Tile(*(r[c] for c in ("ids", "copies", "given", "int8", "scales", "errors"))) for r in rows]
+    low, high = rows[0]["low"], rows[0]["high"]
+    linked, parent, edges = [np.zeros(len(t.ids), np.int64) for t in tiles], {}, []
+    for x, a in enumerate(tiles):
+        for y, b in enumerate(tiles):
+            if rows[x]["strip"] != low or rows[y]["strip"] != high or low == high and y < x:
+                continue
+            i, j = tile_links(a, b, threshold)
+            if x == y:
+                i, j = i[i < j], j[i < j]
+            linked[x] += np.bincount(i, b.copies[j], len(a.ids)).astype(np.int64)
+            linked[y] += np.bincount(j, a.copies[i], len(b.ids)).astype(np.int64)
+            edges += _spanning(parent, a.ids[i], b.ids[j])
+    found = [pd.DataFrame({"id": t.ids[n > 0], "n": n[n > 0]}) for t, n in zip(tiles, linked, strict=True)]
+    found.append(pd.DataFrame({"id": [x for x, _ in edges], "n": 0, "other": pd.array([y for _, y in edges], "Int64")}))
+    return pd.concat(found).reindex(columns=["id", "n", "other"]).astype({"id": "int64", "n": "int64", "other": "Int64"})
+
+
+def _pack(pdf: pd.DataFrame) -> pd.DataFrame:
+    values = np.array(pdf["embedding"].tolist(), np.float64)
+    first = {c: int(pdf[c].iloc[0]) for c in ("dim", "tile", "strip", "strips")}
+    return pd.DataFrame([first | Tile.pack(pdf["class"].to_numpy(), pdf["copies"].to_numpy(), values)])
 
 
 def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, tile: int = TILE) -> DataFrame:
@@ -156,30 +175,19 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, tile: int
     classes = rows.where("embedding is not null").groupBy("embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"))
     # A class is named by a hash of its values only for dealing; its id is a number of its own.
     classes = ws.write(classes.withColumn("class", F.monotonically_increasing_id()).withColumn("dim", F.size("embedding")), "classes")
-    sizes = {r.dim: r.n for r in classes.groupBy("dim").agg(F.count("*").alias("n")).collect()}  # one row a length
     in_class = rows.join(classes.select("embedding", "class", "rep"), "embedding", "left").select("vec_id", "class")
     in_class = ws.write(in_class, "membership")
-    parts = []
-    for dim, n in sorted(sizes.items()):
-        tiles = -(-n // tile)
-
-        def pack(pdf: pd.DataFrame) -> pd.DataFrame:
-            values = np.array(pdf["embedding"].tolist(), np.float64)
-            return pd.DataFrame([{"tile": int(pdf["tile"].iloc[0])} | Tile.pack(pdf["class"].to_numpy(), pdf["copies"].to_numpy(), values)])
-
-        dealt = classes.where(F.col("dim") == dim).withColumn("tile", F.pmod(F.xxhash64("class"), F.lit(tiles)).cast("int"))
-        packed = ws.write(dealt.select("tile", "class", "copies", "embedding").groupBy("tile").applyInPandas(pack, f"tile int, {_TILE_COLUMNS}"), "tiles")
-        met = packed.withColumn("with", F.explode(F.sequence(F.lit(0), F.lit(tiles - 1)))).withColumns({"low": F.least("tile", "with"), "high": F.greatest("tile", "with")})
-        met = met.withColumn("own", F.col("low") == F.col("high")).drop("with")
-        met = met.repartition(max(1, min(tiles * (tiles + 1) // 2, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))), "low", "high")
-        parts.append(met.groupBy("low", "high").applyInPandas(lambda pdf: _pair(pdf, threshold), "id long, n long, other long"))
-    if parts:
-        found = parts[0]
-        for p in parts[1:]:
-            found = found.unionByName(p)
-    else:
-        found = spark.createDataFrame([], "id long, n long, other long")
-    found = ws.write(found, "found")
+    # For each length of vectors: tiles, and strips of them.
+    cores, shuffles = spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))
+    tiles = F.ceil(F.col("n") / tile)
+    by_bytes = F.ceil(tiles / F.greatest(F.lit(1), F.floor(F.lit(STRIP_BYTES) / (tile * (5 * F.col("dim") + 32)))))
+    strips = F.greatest(by_bytes, F.least(tiles, F.lit(math.ceil(math.sqrt(2 * PAIRS_A_CORE * cores)))))
+    sizes = ws.write(classes.groupBy("dim").agg(F.count("*").alias("n")).select("dim", tiles.cast("int").alias("tiles"), strips.cast("int").alias("strips")), "sizes")
+    dealt = classes.join(sizes, "dim").withColumn("tile", F.pmod(F.xxhash64("class"), F.col("tiles")).cast("int")).withColumn("strip", F.col("tile") % F.col("strips"))
+    packed = ws.write(dealt.select("dim", "tile", "strip", "strips", "class", "copies", "embedding").groupBy("dim", "tile").applyInPandas(_pack, f"dim int, tile int, strip int, strips int, {_TILE_COLUMNS}"), "tiles")
+    met = packed.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("strips") - 1))).withColumns({"low": F.least("strip", "with"), "high": F.greatest("strip", "with")})
+    met = met.drop("with", "strips").repartition(max(4 * cores, shuffles), "dim", "low", "high")
+    found = ws.write(met.groupBy("dim", "low", "high").applyInPandas(lambda pdf: _meet(pdf, threshold), "id long, n long, other long"), "found")
     counts = found.groupBy("id").agg(F.sum("n").alias("linked"))
     comps = connected_components(ws, found.where("other is not null").select("id", "other"))
     full = classes.select("class", "rep", "copies").join(counts, F.col("class") == F.col("id"), "left").drop("id")

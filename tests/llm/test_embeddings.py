@@ -60,3 +60,14 @@ def test_empty_and_repeated_rows(spark):
     rows = [(1, [1.0, 0.0]), (1, [1.0, 0.0]), (None, [2.0, 0.0]), (None, None)]
     got = E.near_duplicates(spark.createDataFrame([(i, v, 0, "c", 1, 2) for i, v in rows], SCHEMA)).collect()
     assert sorted((r.n_links, r.component_id or 0) for r in got) == [(0, 0), (2, 1), (2, 1), (2, 1)]
+
+
+def test_one_class_of_a_third_of_all_rows(spark, monkeypatch):
+    r = np.random.default_rng(9)
+    centre = r.normal(size=8)
+    rows = [(i, centre.tolist()) for i in range(150)] + [(150 + i, (centre + r.normal(size=8) * 0.05).tolist()) for i in range(60)] + [(300 + i, r.normal(size=8).tolist()) for i in range(120)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    for size, strip in ((8, 32 << 20), (8, 2000), (1000, 1)):
+        monkeypatch.setattr(E, "STRIP_BYTES", strip)
+        got = {(x.vec_id, x.n_links, x.component_id) for x in E.near_duplicates(df, tile=size).collect()}
+        assert got == brute(rows)
