@@ -1,5 +1,8 @@
 """The application's calls, and the evaluation of a claim set."""
 
+import io
+import zipfile
+
 import pytest
 
 from attestor.plans import evaluate
@@ -40,6 +43,59 @@ def test_calls(spark, tmp_path):
     assert app.table("verdicts").count() == 0 and app.table("packets").count() == 0
 
 
+def docx(*paragraphs):
+    body = "".join(f"<w:p><w:r><w:t>{p}</w:t></w:r></w:p>" for p in paragraphs)
+    data = io.BytesIO()
+    with zipfile.ZipFile(data, "w") as z:
+        z.writestr("[Content_Types].xml", "<Types/>")
+        z.writestr("word/document.xml", f'<w:document xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"><w:body>{body}</w:body></w:document>')
+    return data.getvalue()
+
+
+def test_stages_one_by_one_from_files(spark, tmp_path):
+    app, odd = Service(spark, str(tmp_path)), "a/b:c=d %2F"
+    schema = "filename string, is_report boolean, content binary"
+    files = spark.createDataFrame([("../r.docx", True, docx(*REPORT.split("\n"))), ("s.docx", False, docx(*SOURCE.split("\n")))], schema)
+    for wrong, code in ((spark.createDataFrame([("r.pdf", True, b"text")], schema), "FILE_REJECTED"), (files.where("not is_report"), "NO_REPORT_DOCUMENT")):
+        with pytest.raises(ServiceError, match=code):
+            app.submit("w", wrong)
+    assert app.table("packets").count() == 0 and app.health() == {"status": "ok"}
+    app.submit(odd, files, "me")
+    app.submit("a/b", files, "me")
+    assert app.table("documents").count() == 0
+    with pytest.raises(ServiceError, match="NO_CLAIMS"):
+        app.retrieve(odd, "run1")
+    app.extract(odd, "run1")
+    assert {r.filename for r in app.table("documents").collect()} == {"r.docx", "s.docx"}
+    assert app.poll("run1").first().status == "extracting" and 0 <= app.poll("run1").first().pct <= 99
+    app.retrieve(odd, "run1")
+    app.classify(odd, "run1")
+    got = {r.claim_id: r.verdict_type for r in app.results("run1").collect()}
+    claim = next(c for c, v in got.items() if v == "supported")
+    model = lambda: lambda system, prompts: [f"Because of {len(p)} letters asked." for p in prompts]
+    assert app.explain(odd, claim, "run1", model).startswith("Because of") and app.table("explanations").count() == 1
+
+    def broken():
+        raise OSError
+
+    assert app.explain(odd, claim, "run1", broken) is None and app.table("explanations").count() == 1
+    with pytest.raises(ServiceError, match="NO_RUN_VERSION"):
+        app.explain(odd, "none", "run1", model)
+    app.delete_packet(odd, "me")  # its folders only
+    assert app.table("verdicts").count() == 0 and [r.packet_id for r in app.table("packets").collect()] == ["a/b"]
+    app.run("a/b", "run2")
+    assert app.run_status("run2") == ("completed", None)
+
+
+def test_demo_is_seen_by_all_and_stays(spark, tmp_path):
+    app = Service(spark, str(tmp_path))
+    app.seed_demo()
+    assert app.dashboard("anybody").first().packet_id == "demo" and app.results("demo-run").count() == 4
+    assert [r.verdict_type for r in app.queue("demo", "demo-run").collect()][0] == "contradicted"
+    with pytest.raises(ServiceError, match="FORBIDDEN"):
+        app.delete_packet("demo", None)
+
+
 def test_evaluation(spark):
     claims = spark.createDataFrame([(1, "Aspirin reduces pain in adults", "SUPPORT", [7]), (2, "Aspirin does not reduce pain", "CONTRADICT", [7, 9]), (3, "Cats sleep", "", [9])], "id long, claim string, gold_label string, cited_doc_ids array<long>")
     corpus = spark.createDataFrame([(7, "t", ["Aspirin reduces pain in adults over time.", "We met 12 people."])], "doc_id long, title string, abstract array<string>")
