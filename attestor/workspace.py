@@ -75,10 +75,13 @@ class Workspace:
         (writer.partitionBy(*partition_by) if partition_by else writer).parquet(out)
         return self.spark.read.schema(df.schema).parquet(out)
 
-    def drop(self, df: DataFrame) -> None:
-        """Remove the files of a table of this workspace that nothing reads any more."""
+    def drop(self, df: DataFrame, part: str | None = None) -> None:
+        """Remove the files of a table of this workspace that nothing reads
+        any more, or of one of its partitions (name=value)."""
         jvm = self.spark.sparkContext._jvm
         for f in {os.path.dirname(x) for x in df.inputFiles()}:
+            if part is not None and os.path.basename(f) != part:
+                continue
             path = jvm.org.apache.hadoop.fs.Path(f)
             if f.split(":", 1)[-1].lstrip("/").startswith(self.path.split(":", 1)[-1].lstrip("/")):
                 path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
