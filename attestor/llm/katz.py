@@ -37,6 +37,7 @@ collisions are expected at n^2 / 2^65 of n distinct keys.
 
 from __future__ import annotations
 
+from functools import cache
 from itertools import pairwise
 
 import numpy as np
@@ -339,6 +340,7 @@ class _Scoring:
     def known(self, m: int) -> np.ndarray:
         return self.totals[m - 1] >= self.stats[m - 1].least
 
+    @cache  # noqa: B019  one object a batch
     def unknown_tokens(self, m: int) -> np.ndarray:
         """Tokens whose m-gram is unknown though something may be known after its history."""
         g = self.b.grams(m)
@@ -346,6 +348,7 @@ class _Scoring:
         key = g.place[at]
         return at[~self.known(m)[key] & (self.totals[m - 2][g.history[key]] >= self.stats[m - 1].least)]
 
+    @cache  # noqa: B019
     def maybe_full(self, m: int) -> np.ndarray:
         """Histories of which no small count is seen here: only they can be
         without any at all."""
@@ -354,9 +357,10 @@ class _Scoring:
         np.minimum.at(least, g.history[total > 0], total[total > 0])
         return (least > self.stats[m - 1].k) & (least < np.iinfo(np.int64).max)
 
+    @cache  # noqa: B019
     def wanted(self, m: int) -> np.ndarray:
         """Histories whose weights are asked for."""
-        g, out = self.b.grams(m), self.maybe_full(m)
+        g, out = self.b.grams(m), self.maybe_full(m).copy()
         out[g.history[g.place[self.unknown_tokens(m)]]] = True
         return out
 
@@ -514,7 +518,8 @@ def score(docs: DataFrame, train: Column, order: int = ORDER, least: tuple[int,
     ship_code(spark)
     ws = Workspace(spark, "katz")
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.coalesce(train, F.lit(False)).alias("train"))
-    batches = ws.write(rows.mapInArrow(_batches, _BATCH_SCHEMA), "batches")
+    made = rows.mapInArrow(_batches, _BATCH_SCHEMA).withColumn("round", F.pmod("batch", F.lit(ROUNDS)).cast("int"))
+    batches = ws.write(made, "batches", "round")
     asked = batches.agg(F.coalesce(F.sum("n_words"), F.lit(0)), F.coalesce(F.sum("n_tokens"), F.lit(0))).first()
 
     def table(n: int) -> list[DataFrame]:
@@ -529,29 +534,36 @@ def score(docs: DataFrame, train: Column, order: int = ORDER, least: tuple[int,
         return done
 
     nothing = F.lit(None).cast("binary")
-    counts, replies, stats, weights = [], [], [], []
+    counts, replies, stats, weights, answered = [], [], [], [], []
     for n in range(1, order + 1):
         found = table(n)
         whole = _union(found)
         stats.append(_stats(whole, least[n - 1]))
         counts.append(whole.where("kind = 'model'").select("part", "keys", "totals"))
+        answered += found
         replies += [t.where("kind = 'reply'").select("batch", "part", F.lit(f"totals{n}").alias("of"), "totals", nothing.alias("weights"), nothing.alias("full")) for t in found]
         if n == 1:
             continue
         parts, partial = _parts(spark, asked[min(n - 1, 2) - 1]), []
         answers = _union(replies).select(*_REPLIES)
         for i in range(ROUNDS):
-            mine = F.pmod("batch", F.lit(ROUNDS)) == i
-            both = batches.where(mine).groupBy("batch").cogroup(answers.where(mine).groupBy("batch"))
+            mine = answers.where(F.pmod("batch", F.lit(ROUNDS)) == i)
+            both = batches.where(F.col("round") == i).drop("round").groupBy("batch").cogroup(mine.groupBy("batch"))
             partial.append(ws.write(both.applyInArrow(_answering(stats, n, parts, n == order), _PARTIAL), f"asks{n}", "kind"))
+            if n == order:  # nothing reads these any more
+                ws.drop(batches, f"round={i}")
+        if n == order:
+            for t in answered:
+                ws.drop(t, "kind=reply")
         asks = _union(partial).where("kind = 'weights'").select("part", "batch", "keys", "left", "after", "totals", "wanted")
         made = ws.write(asks.repartition(parts, "part").groupBy("part").applyInArrow(_weigh, _WEIGHTS), f"weights{n}", "kind")
         weights.append(made.where("kind = 'model'").select("part", "keys", "weights", "full"))
         told = made.where("kind = 'reply'")
+        for t in partial:
+            ws.drop(t, "kind=weights")
         if n < order:
+            answered.append(made)
             replies.append(told.select("batch", "part", F.lit(f"weights{n}").alias("of"), nothing.alias("totals"), "weights", "full"))
-            for t in partial:
-                ws.drop(t)
     state = _union(partial).where("kind = 'scores'").select("batch", "ids", "train", "sizes", "known", "base", "score", "doc", "history", "fixed_doc", "fixed_history", "fixed_total")
     scores = state.groupBy("batch").cogroup(told.select("batch", "part", "weights", "full").groupBy("batch")).applyInArrow(_finish, _SCORES)
     return Scored(scores, counts, weights, stats)
