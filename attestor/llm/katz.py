@@ -37,7 +37,7 @@ collisions are expected at n^2 / 2^65 of n distinct keys.
 
 from __future__ import annotations
 
-from functools import cache
+from functools import wraps
 from itertools import pairwise
 
 import numpy as np
@@ -311,12 +311,24 @@ class Stats:
 _REPLIES = ["batch", "part", "of", "totals", "weights", "full"]
 
 
+def _once(method):
+    """Keeps what a method of an order gave, as long as its object is there."""
+
+    @wraps(method)
+    def kept(self, m: int):
+        if (key := (method.__name__, m)) not in self.made:
+            self.made[key] = method(self, m)
+        return self.made[key]
+
+    return kept
+
+
 class _Scoring:
     """A batch with the replies of all orders up to n, and the weights of all
     orders below it."""
 
     def __init__(self, row: dict, replies: list[dict], stats: list[Stats], n: int):
-        self.b, self.n, self.stats = _Batch(row), n, stats
+        self.b, self.n, self.stats, self.made = _Batch(row), n, stats, {}
         by: dict[str, list[dict]] = {}
         for r in sorted(replies, key=lambda r: r["part"]):
             by.setdefault(r["of"], []).append(r)
@@ -340,7 +352,7 @@ class _Scoring:
     def known(self, m: int) -> np.ndarray:
         return self.totals[m - 1] >= self.stats[m - 1].least
 
-    @cache  # noqa: B019  one object a batch
+    @_once
     def unknown_tokens(self, m: int) -> np.ndarray:
         """Tokens whose m-gram is unknown though something may be known after its history."""
         g = self.b.grams(m)
@@ -348,7 +360,7 @@ class _Scoring:
         key = g.place[at]
         return at[~self.known(m)[key] & (self.totals[m - 2][g.history[key]] >= self.stats[m - 1].least)]
 
-    @cache  # noqa: B019
+    @_once
     def maybe_full(self, m: int) -> np.ndarray:
         """Histories of which no small count is seen here: only they can be
         without any at all."""
@@ -357,7 +369,7 @@ class _Scoring:
         np.minimum.at(least, g.history[total > 0], total[total > 0])
         return (least > self.stats[m - 1].k) & (least < np.iinfo(np.int64).max)
 
-    @cache  # noqa: B019
+    @_once
     def wanted(self, m: int) -> np.ndarray:
         """Histories whose weights are asked for."""
         g, out = self.b.grams(m), self.maybe_full(m).copy()
