@@ -4,6 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from attestor.functions import fixed as X
 from attestor.operators import anchors as A
 from attestor.operators import claims as C
 from attestor.operators import ingest as I
@@ -241,3 +242,81 @@ def test_sweep_has_all_pairs(spark):
     cases = spark.createDataFrame([("a", "supported", 1, 1, 0.93, 0.0, 0.0), ("b", "insufficient_support", 0, 0, 0.0, 0.0, 0.0)], "case_id string, gold_verdict string, n_spans int, n_scored int, p_entail double, p_neutral double, p_contra double")
     swept = M.sweep(cases)
     assert swept.count() == 42 and M.best_thresholds(swept).first().three_class_acc == 1.0 and M.best_thresholds(swept).count() == 15
+
+
+def test_resolution_with_likeness_matches_brute_force(spark):
+    """Decisions with full likeness of all pairs, by plain Python; likeness
+    that cannot decide is left out by resolve."""
+    import difflib
+    import random
+    import re
+
+    r = random.Random(4)
+    words = "climate change model mortality risk cohort of the energy price wind storage trial smith jones 1999 2004 2010 data".split()
+    say = lambda n: " ".join(r.choice(words) for _ in range(n))
+    shelf = [(p, f"{p}-{k}", k, "_".join(say(r.randrange(1, 4)).split()) + ".pdf", say(r.choice((3, 8, 400))).title(), (say(4).title(), [say(1).title()], r.choice(("1999", "2004", "", None)))) for p in range(8) for k in range(r.randrange(1, 5))]
+    cands = []
+    for i in range(160):
+        p = r.randrange(8)
+        of = [s for s in shelf if s[0] == p]
+        text = r.choice([say(r.randrange(1, 9)), r.choice(of)[5][0], r.choice(of)[5][0] + " " + say(1), r.choice(of)[4][:60], f"Smith, {r.choice((1999, 2004))}"])
+        cands.append((p, p, f"a{i}", f"({text})" if i % 2 else text.title(), "author_year" if i % 2 else "numeric", text))
+    tokens = lambda t: {x for x in re.findall("[a-z0-9]{2,}", t.lower()) if x not in X.REFERENCE_STOPWORDS}
+    wanted = {}
+    for p, _, anchor, raw, style, cand in cands:
+        low, scored, front = cand.lower(), [], []
+        for _, source, no, name, text, (title, authors, year) in [s for s in shelf if s[0] == p]:
+            target = " ".join((" ".join([title, *authors]), name.replace("_", " ").replace(".", " "), text[:2000])).lower()
+            mine, named = tokens(low), [t for t in tokens(re.sub(r"\.[^.]+$", "", name)) if len(t) >= 4]
+            parts = [difflib.SequenceMatcher(None, low, target).ratio() * 100]
+            if any(len(t) >= 4 for t in mine):
+                parts.append(len(mine & tokens(target)) / len(mine) * 100)
+            if len(named) >= 2:
+                parts.append(sum(t in low for t in named) / len(named) * 100)
+            scored.append((min(100.0, max(parts) + 10) if year and year in low else max(parts), -no, source))
+            surname, cited = re.search(r"\b[A-Z][a-z]+\b", raw), re.search(r"\b\d{4}\b", raw)
+            if surname and cited and surname[0].lower() in text[:5000].lower() and cited[0] in text[:5000].lower():
+                front.append(source)
+        scored.sort(reverse=True)
+        first, second = scored[0][0], scored[1][0] if len(scored) > 1 else 0.0
+        clear = first != second if first >= 80 else first >= 65 and first - second >= 20
+        wanted[anchor] = scored[0][2] if clear else front[0] if style == "author_year" and first < 80 and len(front) == 1 else None
+    df = spark.createDataFrame(cands, "packet_id long, doc_id long, anchor_id string, raw_marker string, citation_style string, candidate string")
+    got = {x.anchor_id: x.target_id for x in A.resolve(df, spark.createDataFrame(shelf, SOURCES)).collect()}
+    assert got == wanted and len({v is None for v in wanted.values()}) == 2
+
+
+def test_places_number_the_whole_order(spark):
+    rows = spark.range(1000).selectExpr("id % 3 as severity", "id * 7919 % 1000 as claim_id")
+    got = sorted((r.place, r.severity, r.claim_id) for r in V.add_places(rows, ["severity", "claim_id"]).collect())
+    assert got == [(i + 1, *k) for i, k in enumerate(sorted((r.severity, r.claim_id) for r in rows.collect()))]
+    assert V.add_places(rows.limit(0), ["severity", "claim_id"]).count() == 0
+
+
+def test_deletes_reach_children_and_refuse_strangers(spark):
+    import pytest
+
+    claims = spark.createDataFrame([(1, "p"), (2, "q")], "claim_id long, packet_id string")
+    spans, other = spark.createDataFrame([(1,), (2,)], "claim_id long"), spark.createDataFrame([(5,)], "id long")
+    gone = spark.createDataFrame([("p",)], "packet_id string")
+    left = V.delete_packets({"claims": claims, "spans": spans}, gone)
+    assert [r.claim_id for r in left["claims"].collect()] == [2] == [r.claim_id for r in left["spans"].collect()]
+    for tables in ({"other": other}, {"spans": spans}):
+        with pytest.raises(ValueError):
+            V.delete_packets(tables, gone)
+
+
+def test_recall_without_evidence(spark):
+    claims = spark.createDataFrame([(1,), (2,), (3,)], "claim_id long")
+    assert R.recall(claims, claims.where("claim_id < 3")).first().recall_at_k == 2 / 3
+    assert R.recall(claims.limit(0), claims).first().recall_at_k == 0.0
+
+
+def test_stored_index_scores_as_a_new_one(spark, tmp_path):
+    spans = spark.createDataFrame([(1, 0, "wind energy storage"), (1, 1, "the of and"), (2, 0, "wind turbines and wind")], "doc_id long, span_idx long, text string")
+    claims = spark.createDataFrame([(9, "The wind energy")], "claim_id long, claim_text string")
+    targets = spark.createDataFrame([(9, 1), (9, 2)], "claim_id long, doc_id long")
+    rows = lambda ix: sorted((r.doc_id, r.span_idx, round(r.score, 9)) for r in R.lexical_scores(claims, targets, ix).collect())
+    stored = R.store_index(spans, str(tmp_path / "index"))
+    assert rows(stored) == rows(R.build_index(spans)) == rows(R.load_index(spark, str(tmp_path / "index")))
+    assert {(d, s) for d, s, score in rows(stored) if score > 0} == {(1, 0), (2, 0)} and (1, 1, 0.0) in rows(stored)

@@ -109,3 +109,16 @@ def test_whole_run(spark):
     got = {r.claim_id: r.verdict_type for r in out["verdicts"].collect()}
     assert got == {"r:0": "supported", "r:1": "contradicted"} and out["recall"].first().recall_at_k == 1.0
     assert {(r.claim_id, r.source_document_id) for r in out["evidence"].collect()} == {("r:0", "a"), ("r:1", "b")}
+
+
+def test_database_round_trip(spark):
+    """With the in-memory database that comes with Spark."""
+    url, driver = "jdbc:derby:memory:attestor;create=true", "org.apache.derby.iapi.jdbc.AutoloadedDriver"
+    rows = spark.range(100).selectExpr("id as claim_id", "concat('text ', id) as claim_text", "id / 100.0d as confidence")
+    files.write_jdbc(rows.where("claim_id < 60"), url, "claims", driver=driver)
+    files.write_jdbc(rows.where("claim_id >= 60"), url, "claims", driver=driver)
+    whole = files.read_jdbc(spark, url, "claims", driver=driver)
+    parts = files.read_jdbc(spark, url, "claims", key="CLAIM_ID", bounds=(0, 100), parts=4, driver=driver)
+    assert parts.rdd.getNumPartitions() == 4
+    wanted = sorted(map(tuple, rows.collect()))
+    assert sorted(map(tuple, whole.collect())) == sorted(map(tuple, parts.collect())) == wanted
