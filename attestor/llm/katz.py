@@ -542,7 +542,7 @@ def score(docs: DataFrame, train: Column, order: int = ORDER, least: tuple[int,
         for first, stop in pairwise(edges):
             if first < stop:
                 asks = batches.mapInArrow(_asking(n, parts, first, stop), _ASK)
-                done.append(ws.write(asks.repartition(stop - first, "part").groupBy("part").applyInArrow(_adding_up(least[n - 1]), _TOTALS), f"counts{n}", "kind"))
+                done.append(ws.write(asks.repartitionById(stop - first, "part").groupBy("part").applyInArrow(_adding_up(least[n - 1]), _TOTALS), f"counts{n}", "kind"))
         return done
 
     nothing = F.lit(None).cast("binary")
@@ -568,7 +568,7 @@ def score(docs: DataFrame, train: Column, order: int = ORDER, least: tuple[int,
             for t in answered:
                 ws.drop(t, "kind=reply")
         asks = _union(partial).where("kind = 'weights'").select("part", "batch", "keys", "left", "after", "totals", "wanted")
-        made = ws.write(asks.repartition(parts, "part").groupBy("part").applyInArrow(_weigh, _WEIGHTS), f"weights{n}", "kind")
+        made = ws.write(asks.repartitionById(parts, "part").groupBy("part").applyInArrow(_weigh, _WEIGHTS), f"weights{n}", "kind")
         weights.append(made.where("kind = 'model'").select("part", "keys", "weights", "full"))
         told = made.where("kind = 'reply'")
         for t in partial:
