@@ -2,6 +2,8 @@
 
 import io
 import json
+import sys
+import types
 import zipfile
 
 import pytest
@@ -122,3 +124,43 @@ def test_database_round_trip(spark):
     assert parts.rdd.getNumPartitions() == 4
     wanted = sorted(map(tuple, rows.collect()))
     assert sorted(map(tuple, whole.collect())) == sorted(map(tuple, parts.collect())) == wanted
+
+
+class _Page:
+    """What a PDF library gives for a page, as far as it is read."""
+
+    def __init__(self, blocks, tables=(), height=800.0):
+        self._blocks, self._tables, self.rect = blocks, tables, types.SimpleNamespace(height=height)
+
+    def find_tables(self):
+        return types.SimpleNamespace(tables=self._tables)
+
+    def get_text(self, kind):
+        assert kind == "dict"
+        return {"blocks": self._blocks}
+
+
+class _Document(list):
+    def __enter__(self):
+        return self
+
+    def __exit__(self, *_):
+        pass
+
+
+def test_pdf_blocks_by_a_stub_of_the_library(monkeypatch):
+    block = lambda text, size, x0, y0, x1, y1: {"bbox": (x0, y0, x1, y1), "lines": [{"spans": [{"text": t, "size": size} for t in text]}]}
+    table = types.SimpleNamespace(bbox=(0, 300, 600, 400), extract=lambda: [["a", None], ["b", "c"]])
+    pages = [
+        _Page([block(["Ti", "tle "], 14.0, 0, 0, 100, 20), block(["Body text."], 10.0, 0, 50, 600, 70), block(["in table"], 10.0, 10, 320, 50, 340), {"bbox": (0, 500, 9, 509)}], [table]),
+        _Page([block(["1 A note."], 8.0, 0, 760, 300, 780), block(["  "], 10.0, 0, 0, 1, 1)]),
+    ]
+    opened = []
+    monkeypatch.setitem(sys.modules, "fitz", types.SimpleNamespace(open=lambda stream, filetype: opened.append((stream, filetype)) or _Document(pages)))
+    blocks, tables = files.parse_pdf(b"%PDF-")
+    assert opened == [(b"%PDF-", "pdf")] and tables == [[["a", ""], ["b", "c"]]]
+    assert [(b["text"], b["block_type"], b["page"]) for b in blocks] == [("Title", "heading", 1), ("Body text.", "paragraph", 1), ("1 A note.", "footnote", 2)]
+    many = _Document([pages[0]] * 51)  # beyond fifty pages tables are not looked for
+    monkeypatch.setitem(sys.modules, "fitz", types.SimpleNamespace(open=lambda stream, filetype: many))
+    blocks, tables = files.parse_pdf(b"%PDF-")
+    assert tables == [] and sum(b["text"] == "in table" for b in blocks) == 51
