@@ -205,8 +205,10 @@ class _Batch:
         some = keys >= np.uint64(low)
         if high < 1 << 64:
             some &= keys < np.uint64(high)
-        found, inverse = np.unique(keys[some], return_inverse=True)
-        return found, np.bincount(inverse[self.in_train[at][some]], minlength=len(found))
+        # Most tokens are in training: what the others add is taken away.
+        found, counts = np.unique(keys[some], return_counts=True)
+        others = np.searchsorted(found, keys[some & ~self.in_train[at]])
+        return found, counts - np.bincount(others, minlength=len(found))
 
 
 _ASK = "part int, batch long, keys binary, counts binary"
@@ -410,7 +412,8 @@ class _Scoring:
             g = b.grams(m)
             at = np.flatnonzero(g.place >= 0)
             key = g.place[at]
-            known, history = self.known(m)[key], g.history[key]
+            known = self.known(m)[key]
+            some, history = key[known], g.history[key[known]]
             back = self.unknown_tokens(m)
             if m < n:
                 log[back] += self.weight[m - 2][g.history[g.place[back]]]
@@ -418,9 +421,9 @@ class _Scoring:
             else:
                 total = self.totals[m - 2]
                 index = np.cumsum(self.wanted(m)) - 1
-                fixed = at[known & self.maybe_full(m)[history]]
+                fixed = at[known][self.maybe_full(m)[history]]
                 last = {"doc": _pack(b.doc[back].astype(np.int32)), "history": _pack(index[g.history[g.place[back]]].astype(np.int32)), "fixed_doc": _pack(b.doc[fixed].astype(np.int32)), "fixed_history": _pack(index[g.history[g.place[fixed]]].astype(np.int32)), "fixed_total": _pack(total[g.history[g.place[fixed]]])}
-            log[at[known]] = (log_of(self.kept[m - 1])[key] - log_of(total)[history])[known]
+            log[at[known]] = log_of(self.kept[m - 1])[some] - log_of(total)[history]
         total = self.totals[0]
         base = np.bincount(b.doc, np.log10((total + 1) / (self.stats[0].tokens + self.stats[0].types + 1))[b.w], docs)
         known = np.bincount(b.doc[total[b.w] > 0], minlength=docs)
