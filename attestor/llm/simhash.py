@@ -24,8 +24,10 @@ by the pipeline, distinct sets of shingles take the place of fingerprints:
 candidates are sets that agree in all of ROWS minima of one of BANDS groups
 (MinHash), and they link if their exact Jaccard similarity is high enough. A
 pair of similarity 0.8 is a candidate with probability 1 - (1 - 0.8^5)^20 =
-0.9996, in a group of more than BUCKET + 1 sets only with the BUCKET next ones
-in the order of the next group's minima.
+0.9996. Each set of a group is compared with one of the group's; sets that are
+not in one component after that are compared with one another, in a group of
+more than BUCKET + 1 sets only with the BUCKET next ones in the order of the
+next group's minima.
 """
 
 from __future__ import annotations
@@ -144,22 +146,45 @@ def _alike(similarity: float):
 
 
 def similar(ws: Workspace, docs: DataFrame, sets: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """Edges (a, b) between distinct sets of shingles (rows of sets: fp, a
-    text's hash th, size n, bands) of so high a Jaccard similarity."""
+    """Edges (a, b) whose components are those of the graph that joins
+    candidates among distinct sets of shingles (rows of sets: fp, a text's hash
+    th, size n, bands) of so high a Jaccard similarity.
+
+    The sets of a group are first compared with one of them, which for very
+    many near copies of one text settles nearly all. Only sets that are not in
+    one component yet are then paired with others, so a group of near copies
+    makes rows in proportion to its size.
+    """
     keys = sets.select("fp", "n", "bands", F.posexplode("bands").alias("band", "val"))
-    keys = keys.select("band", "val", F.struct("fp", "n").alias("one"), F.element_at("bands", F.pmod(F.col("band") + 1, F.lit(BANDS)) + 1).alias("next"))
-    following = Window.partitionBy("band", "val").orderBy("next", "one.fp").rowsBetween(1, BUCKET)
-    pairs = keys.select("one", F.collect_list("one").over(following).alias("others")).select("one", F.explode("others").alias("other"))
-    n, m = F.col("one.n"), F.col("other.n")
-    pairs = pairs.where(F.least(n, m) / F.greatest(n, m) >= similarity)  # or the sets can't be similar enough
-    pairs = ws.write(pairs.select(F.least("one.fp", "other.fp").alias("a"), F.greatest("one.fp", "other.fp").alias("b")).distinct(), "candidates")
-    nodes = pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
+    keys = keys.select("band", "val", "fp", "n", F.element_at("bands", F.pmod(F.col("band") + 1, F.lit(BANDS)) + 1).alias("next"))
+    groups = keys.groupBy("band", "val").agg(F.min("fp").alias("rep"), F.min_by("n", "fp").alias("rep_n"), F.count("*").alias("size"))
+    groups = ws.write(groups.where("size > 1").drop("size"), "groups")
+    members = ws.write(keys.join(groups, ["band", "val"]), "members")
+    nodes = members.select("fp").distinct()
     wanted = sets.join(nodes, "fp", "left_semi").select("fp", "th")
     text = docs.select(F.col("text").cast("string").alias("text")).withColumn("th", F.xxhash64("text"))
     texts = text.join(wanted, "th").select("fp", "text").mapInArrow(_packed(shingle), "fp long, shingles binary")
     packed = ws.write(texts.dropDuplicates(["fp"]), "shingles")
-    both = pairs.join(packed.select(F.col("fp").alias("a"), F.col("shingles").alias("x")), "a").join(packed.select(F.col("fp").alias("b"), F.col("shingles").alias("y")), "b")
-    return both.mapInArrow(_alike(similarity), "a long, b long")
+
+    def alike(pairs: DataFrame, name: str) -> DataFrame:
+        """The pairs (x, nx, y, ny) that are similar enough."""
+        some = pairs.where(F.least("nx", "ny") / F.greatest("nx", "ny") >= similarity)  # or they can't be
+        some = ws.write(some.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), name)
+        both = some.join(packed.select(F.col("fp").alias("a"), F.col("shingles").alias("x")), "a").join(packed.select(F.col("fp").alias("b"), F.col("shingles").alias("y")), "b")
+        return both.mapInArrow(_alike(similarity), "a long, b long")
+
+    first = alike(members.where("fp <> rep").select(F.col("fp").alias("x"), F.col("n").alias("nx"), F.col("rep").alias("y"), F.col("rep_n").alias("ny")), "first")
+    joined = ws.write(connected_components(ws, first), "joined")
+    placed = members.drop("rep", "rep_n").join(joined, members.fp == joined.node, "left").drop("node").withColumn("component", F.coalesce("component", "fp"))
+    placed = ws.write(placed, "placed")
+    mixed = placed.groupBy("band", "val").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("band", "val")
+    apart = placed.join(ws.write(mixed, "mixed"), ["band", "val"], "left_semi")
+    one = F.struct("fp", "n", "component").alias("one")
+    following = Window.partitionBy("band", "val").orderBy("next", "fp").rowsBetween(1, BUCKET)
+    others = F.collect_list(F.struct("fp", "n", "component")).over(following)
+    pairs = apart.select(one, others.alias("others")).select("one", F.explode(F.filter("others", lambda o: o["component"] != F.col("one.component"))).alias("other"))
+    second = alike(pairs.select(F.col("one.fp").alias("x"), F.col("one.n").alias("nx"), F.col("other.fp").alias("y"), F.col("other.n").alias("ny")), "second")
+    return second.unionByName(joined.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b")))
 
 
 def _high(fp: Column) -> Column:

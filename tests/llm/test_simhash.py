@@ -118,3 +118,26 @@ def test_odd_rows_of_the_stage(spark, odd, none):
     ids = [x.doc_id for x in corpus_pipeline.dedup_documents(spark, odd, "").collect()]
     assert 2 in ids and 3 not in ids and 4 not in ids and 5 in ids and 6 not in ids and ids.count(1) == 2
     assert corpus_pipeline.dedup_documents(spark, none, "").count() == 0
+
+
+def test_many_near_copies_of_one_text(spark, make, monkeypatch):
+    """Groups far beyond BUCKET give the components of all pairs."""
+    monkeypatch.setattr(S, "BUCKET", 3)
+    r = random.Random(60)
+    base = ["".join(r.choice("abcdefgh") for _ in range(5)) for _ in range(120)]
+    texts = []
+    for _ in range(150):
+        words = list(base)
+        for _ in range(r.randrange(1, 4)):
+            words[r.randrange(len(words))] = f"x{r.randrange(999)}"
+        texts.append(" ".join(words))
+    texts += [" ".join(base[:60] + [f"y{i}{k}" for k in range(60)]) for i in range(20)]  # half in common only
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for t in texts]
+    parent = list(range(len(texts)))
+    for j in range(len(texts)):
+        for i in range(j):
+            if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]) and parent[i] != parent[j]:
+                old, new = max(parent[i], parent[j]), min(parent[i], parent[j])
+                parent = [new if p == old else p for p in parent]
+    got = {x.doc_id for x in S.keep_one(make([(i, t, "en") for i, t in enumerate(texts)]), shingle=5, similarity=0.8).collect()}
+    assert got == {i for i, p in enumerate(parent) if i == p} and 20 < len(got) < 60
