@@ -45,6 +45,7 @@ SHINGLE = 3
 #: Distinct fingerprints of one segment value up to which candidates are paired.
 BUCKET = 64
 BANDS, ROWS = 20, 5
+PARITIES = 2048
 _CHUNK = 1 << 16
 _FACTORS, _MASKS = (np.random.default_rng(k).integers(0, 1 << 64, (BANDS * ROWS, 1), np.uint64) for k in (1, 2))
 _FACTORS |= np.uint64(1)
@@ -122,11 +123,18 @@ def _set_rows(size: int):
     return rows
 
 
+def parities(found: np.ndarray) -> np.ndarray:
+    """Whether an odd number of shingles falls into each of PARITIES slots, as
+    bits. Two sets differ in at least as many shingles as bits."""
+    odd = np.bincount((found % np.uint64(PARITIES)).astype(np.int64), minlength=PARITIES) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+
+
 def _packed(size: int):
     def rows(batches):
         for batch in batches:
             found = [shingles(x.as_py(), size) for x in batch.column("text")]
-            yield pa.RecordBatch.from_arrays([batch.column("fp"), pa.array([x.tobytes() for x in found], pa.binary())], ["fp", "shingles"])
+            yield pa.RecordBatch.from_arrays([batch.column("fp"), pa.array([x.tobytes() for x in found], pa.binary()), pa.array([parities(x) for x in found], pa.list_(pa.int64()))], ["fp", "shingles", "parity"])
 
     return rows
 
@@ -152,8 +160,9 @@ def similar(ws: Workspace, docs: DataFrame, sets: DataFrame, shingle: int, simil
 
     The sets of a group are first compared with one of them, which for very
     many near copies of one text settles nearly all. Only sets that are not in
-    one component yet are then paired with others, so a group of near copies
-    makes rows in proportion to its size.
+    one component yet are then paired with others, and of these pairs only
+    those that a bound on how far the sets differ leaves open, so a group of
+    near copies makes rows in proportion to its size.
     """
     keys = sets.select("fp", "n", "bands", F.posexplode("bands").alias("band", "val"))
     keys = keys.select("band", "val", "fp", "n", F.element_at("bands", F.pmod(F.col("band") + 1, F.lit(BANDS)) + 1).alias("next"))
@@ -163,7 +172,7 @@ def similar(ws: Workspace, docs: DataFrame, sets: DataFrame, shingle: int, simil
     nodes = members.select("fp").distinct()
     wanted = sets.join(nodes, "fp", "left_semi").select("fp", "th")
     text = docs.select(F.col("text").cast("string").alias("text")).withColumn("th", F.xxhash64("text"))
-    texts = text.join(wanted, "th").select("fp", "text").mapInArrow(_packed(shingle), "fp long, shingles binary")
+    texts = text.join(wanted, "th").select("fp", "text").mapInArrow(_packed(shingle), "fp long, shingles binary, parity array<long>")
     packed = ws.write(texts.dropDuplicates(["fp"]), "shingles")
 
     def alike(pairs: DataFrame, name: str) -> DataFrame:
@@ -178,11 +187,20 @@ def similar(ws: Workspace, docs: DataFrame, sets: DataFrame, shingle: int, simil
     placed = members.drop("rep", "rep_n").join(joined, members.fp == joined.node, "left").drop("node").withColumn("component", F.coalesce("component", "fp"))
     placed = ws.write(placed, "placed")
     mixed = placed.groupBy("band", "val").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("band", "val")
-    apart = placed.join(ws.write(mixed, "mixed"), ["band", "val"], "left_semi")
-    one = F.struct("fp", "n", "component").alias("one")
+    apart = placed.join(ws.write(mixed, "mixed"), ["band", "val"], "left_semi").join(packed.select("fp", "parity"), "fp")
+    one = F.struct("fp", "n", "component", "parity")
     following = Window.partitionBy("band", "val").orderBy("next", "fp").rowsBetween(1, BUCKET)
-    others = F.collect_list(F.struct("fp", "n", "component")).over(following)
-    pairs = apart.select(one, others.alias("others")).select("one", F.explode(F.filter("others", lambda o: o["component"] != F.col("one.component"))).alias("other"))
+
+    def may_link(other: Column) -> Column:
+        """Not joined yet, and not certain to differ in too many shingles: sets
+        of n and m shingles that differ in d have a similarity of
+        (n + m - d) / (n + m + d)."""
+        bits = F.zip_with(other["parity"], F.col("one.parity"), lambda x, y: F.bit_count(x.bitwiseXOR(y)))
+        differ = F.aggregate(bits, F.lit(0), lambda total, x: total + x)
+        both = other["n"] + F.col("one.n")
+        return (other["component"] != F.col("one.component")) & (differ * (1 + similarity) <= both * (1 - similarity) + 1e-6)
+
+    pairs = apart.select(one.alias("one"), F.collect_list(one).over(following).alias("others")).select("one", F.explode(F.filter("others", may_link)).alias("other"))
     second = alike(pairs.select(F.col("one.fp").alias("x"), F.col("one.n").alias("nx"), F.col("other.fp").alias("y"), F.col("other.n").alias("ny")), "second")
     return second.unionByName(joined.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b")))
 

@@ -140,3 +140,14 @@ def test_many_near_copies_of_one_text(make):
                 parent = [new if p == old else p for p in parent]
     got = {x.doc_id for x in S.keep_one(make([(i, t, "en") for i, t in enumerate(texts)]), shingle=5, similarity=0.8).collect()}
     assert got == {i for i, p in enumerate(parent) if i == p} and 20 < len(got) < 200
+
+
+def test_parities_never_exceed_the_difference():
+    r = random.Random(61)
+    for n in (0, 3, 120, 3000):
+        words = [f"w{r.randrange(5000)}" for _ in range(n)]
+        other = [w if r.random() < 0.9 else f"x{r.randrange(99)}" for w in words]
+        a, b = S.shingles(" ".join(words), 5), S.shingles(" ".join(other), 5)
+        bits = sum(int(x ^ y).bit_count() if x ^ y >= 0 else int((int(x) ^ int(y)) & (1 << 64) - 1).bit_count() for x, y in zip(S.parities(a), S.parities(b), strict=True))
+        assert bits <= len(set(a.tolist()) ^ set(b.tolist())) and len(S.parities(a)) == S.PARITIES // 64
+        assert bits > 0 or (a == b).all()
