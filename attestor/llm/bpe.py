@@ -248,6 +248,7 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str, decoded: bool = False
                 if decoded:
                     columns.append(pa.array(map(e.decode, ids), pa.binary()))
                 yield pa.RecordBatch.from_arrays(columns, names)
+        e.old = {}  # a worker may do other work next
 
     schema = "doc_id long, n_tokens long, ids binary" + ", decoded binary" * decoded
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(rows, schema)
