@@ -68,7 +68,7 @@ _CUT = "\x01"
 def sentences(text: Column) -> Column:
     """Sentences of a block: cut at white space after . ! or ?, but not after
     an abbreviation, trimmed, empty ones left out."""
-    cut = F.split(F.regexp_replace(text, rf"([!?]|(?<!\b(?:{literal(fixed.ABBREVIATIONS)}))\.)\s+", f"$1{_CUT}"), _CUT)
+    cut = F.split(F.regexp_replace(text, rf"([!?]|\.(?<!\b(?:{literal(fixed.ABBREVIATIONS)})\.))\s+", f"$1{_CUT}"), _CUT)
     return F.filter(F.transform(cut, strip), lambda s: s != "")
 
 
