@@ -108,13 +108,15 @@ def claim_set(spark, d):
 
 
 def _set(spark, d):
-    """Customers as claims with evidence in parts; a third have none."""
+    """Customers as claims with evidence in parts; a third have none. The
+    first document that each cites is missing whatever the number of parts,
+    as no key is negative."""
     k = F.col("c_custkey")
     piece = lambda label, *at: F.struct(F.array(*map(F.lit, at)).cast("array<int>").alias("sentences"), F.lit(label).alias("label"))
     kind = "array<struct<sentences: array<int>, label: string>>"
     proof = F.when(k % 6 == 1, F.array(piece("SUPPORT", 1, 9)).cast(kind)).when(k % 6 == 2, F.array(piece("CONTRADICT"), piece("SUPPORT", 0)).cast(kind)).otherwise(F.array(piece("NEITHER", 0)).cast(kind))
     evidence = F.when(k % 3 != 0, F.create_map(k.cast("string"), proof))
-    claims = table(spark, d, "customer").select(k.alias("id"), F.col("c_name").alias("claim"), evidence.alias("evidence"), F.array((k + 1000000).cast("long"), k.cast("long")).alias("cited_doc_ids"))
+    claims = table(spark, d, "customer").select(k.alias("id"), F.col("c_name").alias("claim"), evidence.alias("evidence"), F.array((-1 - k).cast("long"), k.cast("long")).alias("cited_doc_ids"))
     corpus = table(spark, d, "part").select(F.col("p_partkey").alias("doc_id"), F.array("p_name", "p_type", "p_brand", F.lit("last")).alias("abstract"))
     return claims, corpus
 
