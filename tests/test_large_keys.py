@@ -5,7 +5,7 @@ import pytest
 from attestor.plans import catalogue
 
 
-@pytest.mark.parametrize("name", ["train_pairs", "cited_abstracts"])
+@pytest.mark.parametrize("name", ["train_pairs", "cited_abstracts", "dev_pairs"])
 def test_a_cited_document_is_missing_among_many_parts(spark, tmp_path, name):
     duckdb = pytest.importorskip("duckdb")
     keys = [*range(12), *range(1_000_000, 1_000_012)]
