@@ -24,17 +24,17 @@ by the pipeline, distinct sets of shingles take the place of fingerprints:
 candidates are sets that agree in all of ROWS minima of one of BANDS groups
 (MinHash), and they link if their exact Jaccard similarity is high enough. A
 pair of similarity 0.8 is a candidate with probability 1 - (1 - 0.8^5)^20 =
-0.9996. Each set of a group is compared with one of the group's; sets that are
-not in one component after that are compared with one another, in a group of
-more than BUCKET + 1 sets only with the BUCKET next ones in the order of the
-next group's minima.
+0.9996. Each set of a group is compared with one of the group's; all pairs of a
+group that are not in one component after that are compared, however large the
+group is: it is cut into blocks of about BLOCK sets, each pair of which is one
+row.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
@@ -44,6 +44,8 @@ RADIUS = 2
 SHINGLE = 3
 #: Distinct fingerprints of one segment value up to which candidates are paired.
 BUCKET = 64
+#: Sets of a group that are compared in one row.
+BLOCK = 512
 BANDS, ROWS = 20, 5
 PARITIES = 2048
 _CHUNK = 1 << 16
@@ -139,6 +141,50 @@ def _packed(size: int):
     return rows
 
 
+def _members(blocks: pa.Array, at: int) -> list[np.ndarray]:
+    """fp, n, component and parities of one block."""
+    fp, n, component, parity = blocks[at].values.flatten()
+    return [fp.to_numpy(), n.to_numpy(), component.to_numpy(), parity.flatten().to_numpy().view(np.uint64).reshape(len(fp), -1)]
+
+
+def _close(similarity: float, forest: bool):
+    """Of each pair of blocks a and b (or of one, if b is null) the pairs of
+    sets of different components that are not certain to differ in too many
+    shingles: sets of n and m shingles that differ in d have a similarity of
+    (n + m - d) / (n + m + d). With forest, only pairs that join what the pairs
+    before them do not."""
+
+    def rows(batches):
+        for batch in batches:
+            out = []
+            for at in range(batch.num_rows):
+                fp, n, label, parity = a = _members(batch.column("a"), at)
+                own = not batch.column("b")[at].is_valid
+                fp2, n2, label2, parity2 = a if own else _members(batch.column("b"), at)
+                label = label.copy()
+                label2 = label if own else label2.copy()
+                for i in range(len(fp)):
+                    other = (label2 != label[i]) & (np.minimum(n2, n[i]) >= similarity * np.maximum(n2, n[i]) - 1e-6)
+                    other[: i + 1 if own else 0] = False
+                    k = np.flatnonzero(other)
+                    differ = np.bitwise_count(parity2[k] ^ parity[i]).sum(axis=1, dtype=np.int64)
+                    keep = differ * (1 + similarity) <= (n2[k] + n[i]) * (1 - similarity) + 1e-6
+                    k = k[keep][np.argsort(differ[keep], kind="stable")]
+                    while len(k):
+                        some = k[:1] if forest else k
+                        out += [(fp[i], n[i], fp2[j], n2[j]) for j in some]
+                        if not forest:
+                            break
+                        old = label2[k[0]]
+                        label[label == old] = label[i]
+                        label2[label2 == old] = label[i]
+                        k = k[label2[k] != label[i]]
+            columns = list(zip(*out, strict=True)) or [()] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["x", "nx", "y", "ny"])
+
+    return rows
+
+
 def _alike(similarity: float):
     def rows(batches):
         for batch in batches:
@@ -159,13 +205,16 @@ def similar(ws: Workspace, docs: DataFrame, sets: DataFrame, shingle: int, simil
     th, size n, bands) of so high a Jaccard similarity.
 
     The sets of a group are first compared with one of them, which for very
-    many near copies of one text settles nearly all. Only sets that are not in
-    one component yet are then paired with others, and of these pairs only
-    those that a bound on how far the sets differ leaves open, so a group of
-    near copies makes rows in proportion to its size.
+    many near copies of one text settles nearly all. Then all pairs of a group
+    that are not in one component yet are compared by a bound on how far the
+    sets differ, and by their shingles if it leaves them open: at first only
+    pairs that could join components, then all that those left apart. Sets of
+    one component have blocks of their own if they fill one, which are not
+    compared with one another; all others of a group share blocks. So a group
+    of near copies makes rows in proportion to its size, and no pair of a
+    group is left out.
     """
-    keys = sets.select("fp", "n", "bands", F.posexplode("bands").alias("band", "val"))
-    keys = keys.select("band", "val", "fp", "n", F.element_at("bands", F.pmod(F.col("band") + 1, F.lit(BANDS)) + 1).alias("next"))
+    keys = sets.select("fp", "n", F.posexplode("bands").alias("band", "val"))
     groups = keys.groupBy("band", "val").agg(F.min("fp").alias("rep"), F.min_by("n", "fp").alias("rep_n"), F.count("*").alias("size"))
     groups = ws.write(groups.where("size > 1").drop("size"), "groups")
     members = ws.write(keys.join(groups, ["band", "val"]), "members")
@@ -184,25 +233,33 @@ def similar(ws: Workspace, docs: DataFrame, sets: DataFrame, shingle: int, simil
 
     first = alike(members.where("fp <> rep").select(F.col("fp").alias("x"), F.col("n").alias("nx"), F.col("rep").alias("y"), F.col("rep_n").alias("ny")), "first")
     joined = ws.write(connected_components(ws, first), "joined")
-    placed = members.drop("rep", "rep_n").join(joined, members.fp == joined.node, "left").drop("node").withColumn("component", F.coalesce("component", "fp"))
-    placed = ws.write(placed, "placed")
-    mixed = placed.groupBy("band", "val").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("band", "val")
-    apart = placed.join(ws.write(mixed, "mixed"), ["band", "val"], "left_semi").join(packed.select("fp", "parity"), "fp")
-    one = F.struct("fp", "n", "component", "parity")
-    following = Window.partitionBy("band", "val").orderBy("next", "fp").rowsBetween(1, BUCKET)
-
-    def may_link(other: Column) -> Column:
-        """Not joined yet, and not certain to differ in too many shingles: sets
-        of n and m shingles that differ in d have a similarity of
-        (n + m - d) / (n + m + d)."""
-        bits = F.zip_with(other["parity"], F.col("one.parity"), lambda x, y: F.bit_count(x.bitwiseXOR(y)))
-        differ = F.aggregate(bits, F.lit(0), lambda total, x: total + x)
-        both = other["n"] + F.col("one.n")
-        return (other["component"] != F.col("one.component")) & (differ * (1 + similarity) <= both * (1 - similarity) + 1e-6)
-
-    pairs = apart.select(one.alias("one"), F.collect_list(one).over(following).alias("others")).select("one", F.explode(F.filter("others", may_link)).alias("other"))
-    second = alike(pairs.select(F.col("one.fp").alias("x"), F.col("one.n").alias("nx"), F.col("other.fp").alias("y"), F.col("other.n").alias("ny")), "second")
-    return second.unionByName(joined.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b")))
+    group = ["band", "val"]
+
+    def across(joined: DataFrame, forest: bool) -> DataFrame:
+        """Pairs that are similar enough, of sets of a group that are not joined."""
+        placed = members.drop("rep", "rep_n").join(joined, members.fp == joined.node, "left").drop("node").withColumn("component", F.coalesce("component", "fp"))
+        placed = ws.write(placed, "placed")
+        counts = placed.groupBy(*group, "component").agg(F.count("*").alias("of"))
+        mixed = ws.write(counts.groupBy(*group).agg(F.count("*").alias("k"), F.sum(F.when(F.col("of") <= BLOCK, F.col("of")).otherwise(0)).alias("rest")).where("k > 1").drop("k"), "mixed")
+        large = ws.write(counts.where(F.col("of") > BLOCK).join(mixed.select(*group), group, "left_semi"), "large")
+        apart = placed.join(mixed, group).join(large, [*group, "component"], "left")
+        parts = F.ceil(F.coalesce("of", "rest") / F.lit(BLOCK))
+        block = F.struct(F.col("of").isNotNull().alias("large"), F.when(F.col("of").isNotNull(), F.col("component")).otherwise(0).alias("whole"), F.pmod(F.xxhash64("fp"), parts).alias("part"))
+        apart = apart.select(*group, "fp", "n", "component", block.alias("block")).join(packed.select("fp", "parity"), "fp")
+        blocks = ws.write(apart.groupBy(*group, "block").agg(F.collect_list(F.struct("fp", "n", "component", "parity")).alias("sets")), "blocks")
+        i, j = F.col("i"), F.col("j")
+        names = blocks.select(*group, "block")
+        two = names.withColumnRenamed("block", "i").join(names.withColumnRenamed("block", "j"), group).where(i <= j).where(~(i["large"] & j["large"] & (i["whole"] == j["whole"])))
+        two = two.join(blocks.select(*group, F.col("block").alias("i"), F.col("sets").alias("a")), [*group, "i"])
+        two = two.join(blocks.select(*group, F.col("block").alias("j"), F.col("sets").alias("b")), [*group, "j"])
+        return alike(two.select("a", F.when(i != j, F.col("b")).alias("b")).mapInArrow(_close(similarity, forest), "x long, nx long, y long, ny long"), "second")
+
+    def edges(joined: DataFrame) -> DataFrame:
+        return joined.where("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))
+
+    more = ws.write(across(joined, True).unionByName(edges(joined)), "more")
+    joined = ws.write(connected_components(ws, more), "joined")
+    return across(joined, False).unionByName(edges(joined))
 
 
 def _high(fp: Column) -> Column:

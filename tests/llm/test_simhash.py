@@ -151,3 +151,24 @@ def test_parities_never_exceed_the_difference():
         bits = sum(int(x ^ y).bit_count() if x ^ y >= 0 else int((int(x) ^ int(y)) & (1 << 64) - 1).bit_count() for x, y in zip(S.parities(a), S.parities(b), strict=True))
         assert bits <= len(set(a.tolist()) ^ set(b.tolist())) and len(S.parities(a)) == S.PARITIES // 64
         assert bits > 0 or (a == b).all()
+
+
+def test_no_pair_of_a_large_group_is_left_out(spark, monkeypatch):
+    """160 sets in one group, which are 80 pairs of near copies and otherwise
+    have too little in common; in several blocks too."""
+    from pyspark.sql import functions as F
+
+    r, texts = random.Random(62), []
+    for i in range(80):
+        words = [f"b{k}" for k in range(90)] + [f"y{i}x{k}" for k in range(50)]
+        texts += [" ".join(words), " ".join(words[:-9] + [f"z{i}x{k}" for k in range(9)])]
+    fps = [S._identity(S.shingles(t, 5)) for t in texts]
+    rows = [(fp, t, len(S.shingles(t, 5))) for fp, t in zip(fps, texts, strict=True)]
+    r.shuffle(rows)
+    docs = spark.createDataFrame(rows, "fp long, text string, n long")
+    sets = docs.select("fp", F.xxhash64("text").alias("th"), "n", F.array_repeat(F.lit(7).cast("long"), S.BANDS).alias("bands"))
+    for block in (512, 50):
+        monkeypatch.setattr(S, "BLOCK", block, raising=False)
+        ws = Workspace(spark, "large")
+        got = {(x.node, x.component) for x in connected_components(ws, S.similar(ws, docs, sets, 5, 0.8)).collect() if x.node != x.component}
+        assert got == {(max(a, b), min(a, b)) for a, b in zip(fps[::2], fps[1::2], strict=True)}
