@@ -299,8 +299,12 @@ def surname_year(spark, d):
 
 @query()
 def anchor_resolve_sequence(spark, d):
-    """With sequence likeness, as in production."""
-    return A.resolve(*_resolution(spark, d)).select("anchor_id", "candidate", "target_id", "resolution_status")
+    """With sequence likeness, as in production; kept between stages, as in a
+    whole run."""
+    ws = Workspace(spark, "anchors", measured=True)
+    keep = lambda name, df: ws.write(df, name)
+    cands, sources = _resolution(spark, d)
+    return keep("anchors", A.resolve(keep("candidates", cands), sources, keep=keep)).select("anchor_id", "candidate", "target_id", "resolution_status")
 
 
 # Verdicts.
